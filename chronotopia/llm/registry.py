@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .simhash import op9_simhash
 
-QUERIES = {"op9_simhash": op9_simhash}
+QUERIES = {"op4_bpe": op4_bpe, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
