@@ -5,9 +5,10 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .langid import op2_langid
 from .mixing import op3_mixing
+from .pii import op6_pii
 from .secrets import op1_secrets
 from .secrets_sql import ORACLE as SECRETS_SQL
 from .simhash import op9_simhash
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op9_simhash": op9_simhash}
+QUERIES = {"op1_secrets": op1_secrets, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op6_pii": op6_pii, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {"op1_secrets": SECRETS_SQL}
