@@ -248,8 +248,11 @@ def train(docs: DataFrame, train_docs: int = 20_000, calibration_docs: int = 4_0
     return m
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred, score (posterior of the best), cross_entropy (nats a character) and rejected."""
+NAMES = ("lang_pred", "score", "cross_entropy", "rejected")
+
+
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = NAMES) -> DataFrame:
+    """``keep`` columns and, under ``names``, the language, posterior, cross-entropy (nats a character) and rejection."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -272,12 +275,13 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             lang = pa.array([m.langs[k] if k >= 0 else "und" for k in best.tolist()], pa.string())
             h_ = pa.array(h, pa.float64(), mask=np.isnan(h))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep), lang, pa.array(post), h_, pa.array(reject)], [*keep, "lang_pred", "score", "cross_entropy", "rejected"]
+                [*(b.column(c) for c in keep), lang, pa.array(post), h_, pa.array(reject)], [*keep, *names]
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     src = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, f"{kinds}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    new = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double", "boolean")))
+    return src.mapInArrow(run, f"{kinds}, {new}")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

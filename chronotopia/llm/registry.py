@@ -8,7 +8,8 @@ from .mixing import op3_mixing
 from .pii import op6_pii
 from .secrets import op1_secrets
 from .secrets_sql import ORACLE as SECRETS_SQL
+from .sharding import op10_sharding
 from .simhash import op9_simhash
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op6_pii": op6_pii, "op9_simhash": op9_simhash}
+QUERIES = {"op1_secrets": op1_secrets, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op6_pii": op6_pii, "op9_simhash": op9_simhash, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {"op1_secrets": SECRETS_SQL}

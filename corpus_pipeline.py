@@ -1,12 +1,60 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: documents to token ids, in five stages, each of which is one operator's work.
+
+A stage takes (spark, docs, sf_dir), is written as Parquet and reread as the next one's ``docs``; all but the last
+return the columns of documents. Rows without a doc_id cannot be kept by the second stage; everything else that a stage
+drops is its decision: texts whose language is rejected, near-duplicates but the one with the smallest doc_id of each
+group, and documents that the mix does not take. The mix repeats rows of sources that are to weigh more.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronotopia.llm import bpe, langid, mixing, pii, simhash
+from chronotopia.llm.common import shared_folder, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language of the labels; those that the calibrated models reject go."""
+    names = tuple(f"_langid_{n}" for n in langid.NAMES)
+    found = langid.predict(docs, langid.train(docs), tuple(docs.columns), names)
+    return found.filter(~F.col("_langid_rejected")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates."""
+    return simhash.near_dedup(docs)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced."""
+    return pii.pseudonymize(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and token_ids of each row."""
+    return bpe.encode(docs, bpe.default_path(), ("doc_id", "lang", "source"))
+
 
-STAGES: list = []
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("pii", pseudonyms), ("mixing", mix), ("bpe", tokens)]
+#: SQL cannot express these stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; what lies between them is written to the shared folder."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(path := f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(path)
+    return docs
