@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, table
+from .common import checkpointed, connected_components, local_roots, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -61,22 +61,6 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
     return ids.mapInArrow(run, "doc_id long, fp long")
 
 
-def _local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (node, smallest node reached) of the graph with edges a-b."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            return nodes, nodes[label]
-        label = new
-
-
 def _linked(key: np.ndarray, left: np.ndarray, fp: np.ndarray, distance: int):
     """Verified pairs among rows of equal key, in pieces. left: True for rows of the first block, of two."""
     order = np.argsort(key, kind="stable")
@@ -121,10 +105,10 @@ def _edges_of(rows, distance: int, block: int, blocks: bool):
         b.append(y)
         held += len(x)
         if held > 2_000_000:  # fold into stars, so that memory stays within the number of nodes
-            x, y = (z.view(np.int64) for z in _local_roots(np.concatenate(a), np.concatenate(b)))
+            x, y = (z.view(np.int64) for z in local_roots(np.concatenate(a), np.concatenate(b)))
             a, b, held = [x.view(np.uint64)], [y.view(np.uint64)], len(x)
     if a and sum(map(len, a)):
-        x, y = _local_roots(np.concatenate(a), np.concatenate(b))
+        x, y = local_roots(np.concatenate(a), np.concatenate(b))
         x, y = x[x != y], y[x != y]
         out["key"].append(np.full(len(x), -1))
         out["a"].append(x.view(np.int64))
