@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op7_ann
 from .bpe import op4_bpe
 from .embed_dedup import op5_embed_dedup
 from .langid import op2_langid
@@ -12,5 +13,5 @@ from .secrets_sql import ORACLE as SECRETS_SQL
 from .sharding import op10_sharding
 from .simhash import op9_simhash
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_embed_dedup": op5_embed_dedup, "op6_pii": op6_pii, "op9_simhash": op9_simhash, "op10_sharding": op10_sharding}
+QUERIES = {"op1_secrets": op1_secrets, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_embed_dedup": op5_embed_dedup, "op6_pii": op6_pii, "op7_ann": op7_ann, "op9_simhash": op9_simhash, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {"op1_secrets": SECRETS_SQL}
