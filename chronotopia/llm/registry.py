@@ -12,6 +12,7 @@ from .secrets import op1_secrets
 from .secrets_sql import ORACLE as SECRETS_SQL
 from .sharding import op10_sharding
 from .simhash import op9_simhash
+from .suffix_dedup import op8_suffix_dedup
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_embed_dedup": op5_embed_dedup, "op6_pii": op6_pii, "op7_ann": op7_ann, "op9_simhash": op9_simhash, "op10_sharding": op10_sharding}
+QUERIES = {"op1_secrets": op1_secrets, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_bpe": op4_bpe, "op5_embed_dedup": op5_embed_dedup, "op6_pii": op6_pii, "op7_ann": op7_ann, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {"op1_secrets": SECRETS_SQL}
