@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import encounter_queries
+
+PARTS = (encounter_queries,)
+QUERIES = {k: q for p in PARTS for k, q in p.QUERIES.items()}
+ORACLES = {k: q for p in PARTS for k, q in p.ORACLES.items()}
