@@ -85,7 +85,7 @@ for _t in ("none", "century", "decade", "year", "month", "day"):
 _ids = ", ".join(f"{s}.{c} AS {c}_{s}" for s in "ab" for c in ("event_id", "book_id", "character_id", "location_id", "point_role"))
 _add("pairs_city_year", lambda s, d: E.pairs(_points(s, d), "year", "city"), pairs_sql("year", "city", _ids))
 _add("pairs_neighborhood_day", lambda s, d: E.pairs(_points(s, d), "day", "neighborhood"), pairs_sql("day", "neighborhood", _ids))
-_add("country_filter", lambda s, d: E.pair_count(_points(s, d), "year", "city", " France "), pairs_sql("year", "city", "count(*) AS n", "WHERE a.country = 'france' AND b.country = 'france'"))
+_add("country_filter", lambda s, d: E.pair_count(_points(s, d), "year", "city", " Nation_3 "), pairs_sql("year", "city", "count(*) AS n", "WHERE a.country = 'nation_3' AND b.country = 'nation_3'"))
 _add("list_countries", lambda s, d: E.list_countries(_points(s, d)),
      pairs_sql("none", "country", "DISTINCT a.country", "WHERE a.country NOT IN (" + ", ".join(f"'{c}'" for c in CONTINENTS) + ")"))
 
@@ -106,8 +106,8 @@ def _groups(time, location):
 
 _add("encounter_groups", _groups("year", "city"), groups_sql("year", "city"))
 _add("encounter_examples_1", lambda s, d: _groups("year", "city")(s, d).orderBy(F.desc("support_count"), "event_id_a", "event_id_b").limit(25), groups_sql("year", "city") + " ORDER BY support_count DESC, event_id_a, event_id_b LIMIT 25")
-_add("encounter_examples_2", lambda s, d: E.encounter_groups(E.pairs(_points(s, d), "decade", "country", "France"), _readable(s, d)).orderBy(F.desc("support_count"), "event_id_a", "event_id_b").limit(25),
-     groups_sql("decade", "country").replace("FROM pts a JOIN pts b", "FROM (SELECT * FROM pts WHERE country = 'france') a JOIN (SELECT * FROM pts WHERE country = 'france') b") + " ORDER BY support_count DESC, event_id_a, event_id_b LIMIT 25")
+_add("encounter_examples_2", lambda s, d: E.encounter_groups(E.pairs(_points(s, d), "decade", "country", "NATION_3 "), _readable(s, d)).orderBy(F.desc("support_count"), "event_id_a", "event_id_b").limit(25),
+     groups_sql("decade", "country").replace("FROM pts a JOIN pts b", "FROM (SELECT * FROM pts WHERE country = 'nation_3') a JOIN (SELECT * FROM pts WHERE country = 'nation_3') b") + " ORDER BY support_count DESC, event_id_a, event_id_b LIMIT 25")
 _add("encounter_examples_3", lambda s, d: _groups("month", "neighborhood")(s, d).orderBy(F.desc("support_count"), "event_id_a", "event_id_b").limit(25), groups_sql("month", "neighborhood") + " ORDER BY support_count DESC, event_id_a, event_id_b LIMIT 25")
 _overlap = f""", pts AS ({MATCH_POINTS}), readable AS ({READABLE}) SELECT DISTINCT ra.character_name AS character_a, rb.character_name AS character_b, a.city AS place,
   CASE WHEN greatest(a.y_start, b.y_start) <= least(a.y_end, b.y_end) THEN greatest(a.y_start, b.y_start) END AS overlap_start, CASE WHEN greatest(a.y_start, b.y_start) <= least(a.y_end, b.y_end) THEN least(a.y_end, b.y_end) END AS overlap_end

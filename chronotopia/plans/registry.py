@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import encounter_queries
+from . import book_queries, encounter_queries
 
-PARTS = (encounter_queries,)
+PARTS = (encounter_queries, book_queries)
 QUERIES = {k: q for p in PARTS for k, q in p.QUERIES.items()}
 ORACLES = {k: q for p in PARTS for k, q in p.ORACLES.items()}

@@ -44,7 +44,7 @@ VIEWS = {
   CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'flashback' WHEN 1 THEN 'flash_forward' WHEN 2 THEN 'unclear' ELSE 'current' END AS temporal_relation,
   CASE WHEN o_orderkey % 2 = 0 THEN 'order ' || CAST(o_orderkey AS STRING) END AS evidence_quote
   FROM co""",
-    "estimates": """SELECT DISTINCT c_mktsegment AS book_id, 1990 + length(c_mktsegment) AS year_range_start, 2000 + length(c_mktsegment) AS year_range_end,
+    "estimates": """SELECT DISTINCT c_mktsegment AS book_id, CAST(1990 + length(c_mktsegment) AS INT) AS year_range_start, CAST(2000 + length(c_mktsegment) AS INT) AS year_range_end,
   CASE length(c_mktsegment) % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS setting_confidence FROM {customer}""",
     "dup_groups": """SELECT c_mktsegment AS book_id, c_nationkey * 100 + c_custkey % 50 AS position, min(c_custkey) AS canonical_id, c_custkey % 50 AS slot, c_nationkey,
   CASE WHEN (c_custkey % 50) % 3 = 0 THEN 'uncertain' WHEN (c_custkey % 50) % 3 = 1 THEN 'likely' ELSE 'certain' END AS confidence
