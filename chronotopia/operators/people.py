@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import EVIDENCE_HALF
+from ..sources.session import checkpointed
 
 
 def evidence_sample(events: DataFrame, half: int = EVIDENCE_HALF) -> DataFrame:
@@ -31,26 +32,24 @@ def split_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.filter(sure), groups.filter(~sure)
 
 
-def redirect_map(members: DataFrame, most: int = 40) -> DataFrame:
+def redirect_map(members: DataFrame) -> DataFrame:
     """(book_id, old_id, new_id) from members of certain groups (book_id, position, canonical_id, member_id).
 
     A later group replaces an earlier one's redirect of the same id; chains are followed to their end by doubling
     steps. A cycle is an error, as it would leave nobody.
     """
     last = F.max_by("canonical_id", "position").alias("new_id")
-    hops = members.filter("member_id <> canonical_id").groupBy("book_id", F.col("member_id").alias("old_id")).agg(last)
-    for _ in range(most):
+    direct = members.filter("member_id <> canonical_id").groupBy("book_id", F.col("member_id").alias("old_id")).agg(last)
+    hops = checkpointed(direct)
+    for _ in range(hops.count().bit_length() + 1):  # steps double, so no chain is longer than that
         b = hops.select("book_id", F.col("old_id").alias("new_id"), F.col("new_id").alias("_next"))
-        step = hops.join(b, ["book_id", "new_id"], "left")
+        step = checkpointed(hops.join(b, ["book_id", "new_id"], "left"))
         if step.filter("_next IS NOT NULL").isEmpty():
             return hops
-        if not step.filter("_next = old_id OR new_id = old_id").isEmpty():
-            raise ValueError("duplicate groups redirect in a cycle")
         hops = step.select("book_id", "old_id", F.coalesce("_next", "new_id").alias("new_id"))
     raise ValueError("duplicate groups redirect in a cycle")
 
 
-
 def apply_merges(characters: DataFrame, events: DataFrame, redirect: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(characters, events): merged ones go, survivors get their names, events point to survivors.
 
