@@ -3,7 +3,7 @@
 Documents are linked through a hub (here: equal texts). Linked documents begin in a shard by hash; in each round a
 hub's counts by shard are joined back to its documents, each of which asks to move to the hub's fullest shard that has
 room; requests are granted, by a hash, up to the room that is left (what leaves makes room too). Then documents
-without links, which cut nothing, fill every shard to its share: along a hashed order, in three classes of size so that
+without links, which cut nothing, fill every shard to its share: the largest to the emptiest, then along a hashed order in two classes of size, so that
 small ones even out what large ones leave. A hub larger than a shard fills one after the other.
 
 The law is ``bytes``: shards' sizes are near equal. Only 8 x 8 sums go to the driver in a round. Counts and running sums
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, running_sum, table
 
-SHARDS, ROUNDS, BINS = 8, 6, 4096
-#: Documents without links are dealt by falling size: from 2 % of a shard, from 0.2 %, the rest.
-CLASSES = (0.02, 0.002, 0.0)
+SHARDS, ROUNDS, BINS = 8, 8, 4096
+#: A shard with less room than this part of its share takes no more requests.
+FULL = 0.05
+#: Documents without links are dealt by falling size: from 2 % of a shard one by one, from 0.2 %, the rest.
+LARGE, CLASSES = 0.02, (0.002, 0.0)
 
 
 def _hash(seed: int, *cols: str) -> Column:
@@ -46,10 +48,10 @@ def propagate(linked: DataFrame, capacity: float, shards: int = SHARDS, rounds:
             load[r["shard"]] = r["n"]
         room = [max(0.0, capacity - x) for x in load]
         by = own.groupBy("hub").agg(*[F.sum((F.col("shard") == k).cast("long")).alias(f"n{k}") for k in range(shards)])
-        # The fullest shard that has room; of equals, one by the hub's hash.
-        ask = F.array(*[F.struct(F.col(f"n{k}").alias("n"), F.pmod(F.xxhash64("hub", F.lit(k)), F.lit(1 << 30)).alias("t"), F.lit(k).alias("k")) for k in range(shards) if room[k] > 0])
-        if not any(room):
+        if max(room) <= FULL * capacity:
             break
+        # The fullest shard that has room; of equals, one by the hub's hash.
+        ask = F.array(*[F.struct(F.col(f"n{k}").alias("n"), F.pmod(F.xxhash64("hub", F.lit(k)), F.lit(1 << 30)).alias("t"), F.lit(k).alias("k")) for k in range(shards) if room[k] > FULL * capacity])
         best = F.array_max(ask)
         here = F.array(*[F.col(f"n{k}") for k in range(shards)])
         wishes = by.select("hub", best.alias("best"), here.alias("here"))
@@ -73,16 +75,24 @@ def propagate(linked: DataFrame, capacity: float, shards: int = SHARDS, rounds:
     return own.select("hub", "doc_id", "size", "crc", "shard")
 
 
-def fill(free: DataFrame, load: list[float], capacity: float, total: float) -> DataFrame:
-    """``free`` (doc_id, size, crc) with ``shard``: along a hashed order, each shard up to its share."""
-    shards, done = len(load), None
-    bound = float("inf")
+def fill(free: DataFrame, load: list[float], capacity: float) -> DataFrame:
+    """``free`` (doc_id, size, crc) with ``shard``: along a hashed order, each shard up to its share.
+
+    There are at most shards / LARGE documents of LARGE of a shard each: those go, largest first, to the emptiest.
+    """
+    large = sorted((-r["size"], r["crc"], r["doc_id"] is None, r["doc_id"] or 0) for r in free.filter(F.col("size") >= LARGE * capacity).collect())
+    rows = []
+    for size, crc, unknown, doc in large:
+        to = min(range(len(load)), key=lambda k: (load[k], k))
+        load[to] -= size
+        rows.append((None if unknown else doc, -size, crc, to))
+    done = free.sparkSession.createDataFrame(rows, "doc_id long, size long, crc long, shard int")
+    bound = LARGE * capacity
     h = _hash(5, "doc_id", "crc")
     free = free.withColumn("h", h).withColumn("bin", _bin(h)).withColumn("one", F.lit(0))
     for share in CLASSES:
-        low = share * capacity
-        own = free.filter((F.col("size") >= low) & (F.col("size") < bound))
-        bound = low
+        own = free.filter((F.col("size") >= share * capacity) & (F.col("size") < bound))
+        bound = share * capacity
         own = running_sum(own, ["one"], "bin", [F.col("h"), F.col("doc_id"), F.col("size")], F.col("size"), "sum")
         size = own.agg(F.max("sum")).first()[0]
         if size is None:
@@ -99,8 +109,8 @@ def fill(free: DataFrame, load: list[float], capacity: float, total: float) -> D
         own = checkpointed(own.select("doc_id", "size", "crc", shard.alias("shard")))
         for r in own.groupBy("shard").agg(F.sum("size").alias("n")).collect():
             load[r["shard"]] += r["n"]
-        done = own if done is None else done.union(own)
-    return free.select("doc_id", "size", "crc", F.lit(0).alias("shard")).limit(0) if done is None else done
+        done = done.union(own)
+    return done
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -117,7 +127,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for r in linked.groupBy("shard").agg(F.sum("size").alias("n")).collect():
         load[r["shard"]] += r["n"]
     free = rows.join(hubs, "hub", "left_anti").select("doc_id", "size", "crc")
-    placed = linked.select("doc_id", "size", "crc", "shard").union(fill(free, load, capacity, total))
+    placed = linked.select("doc_id", "size", "crc", "shard").union(fill(free, load, capacity))
     h = _hash(3, "doc_id", "crc")
     placed = checkpointed(placed.withColumn("h", h).withColumn("bin", _bin(h)))
     slots = running_sum(placed, ["shard"], "bin", [F.col("h"), F.col("doc_id"), F.col("crc")], F.lit(1), "slot")
