@@ -7,8 +7,8 @@ key that no language has seen backs off through those. The language with the low
 
 Fitting uses a bounded sample: at most about ``train_docs`` labelled documents in all, shared evenly over the
 languages and drawn by a hash of doc_id, and ``calibration_docs`` others, on which the rejection is calibrated: a
-document is rejected when its cross-entropy lies further above its language's mean than any of those by ``slack``,
-with an allowance for short texts. Counting n-grams is distributed; the model is bounded by the sample.
+document is rejected when its cross-entropy lies above its language's mean by ``slack`` more than that of 98 % of
+those, with an allowance for short texts. Counting n-grams is distributed; the model is bounded by the sample.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and rejected; without any labelled row
 everything is; rows are independent, so repeated rows and ties in doc_id need no rule; equal cross-entropies go to the
@@ -28,6 +28,8 @@ from .common import table
 
 ORDER = 4
 PAD = ORDER - 1
+#: Length at which a cross-entropy varies so much that only its part above the mean divided by the root of 2 counts.
+SHORT = 30.0
 #: Characters that are scored together.
 CHUNK = 3_000_000
 _letters: list[np.ndarray] = []
@@ -164,7 +166,7 @@ class Model:
 
     def excess(self, best: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
         """How far a cross-entropy lies above its language's mean; short texts vary more."""
-        return (h - self.mean[best]) * np.sqrt(n / (n + 100.0))
+        return (h - self.mean[best]) * np.sqrt(n / (n + SHORT))
 
 
 def _held(part: int, of: int = 5) -> Column:
@@ -183,7 +185,7 @@ def _chunks(batch: pa.RecordBatch):
         yield held
 
 
-def train(docs: DataFrame, train_docs: int = 20_000, calibration_docs: int = 4_000, slack: float = 1.5) -> Model:
+def train(docs: DataFrame, train_docs: int = 20_000, calibration_docs: int = 4_000, slack: float = 1.0) -> Model:
     """Fit on labelled rows of which crc32(doc_id as text) mod 5 is 1 to 3, calibrate on those where it is 4."""
     spark = docs.sparkSession
     rows = docs.select(
@@ -244,7 +246,7 @@ def train(docs: DataFrame, train_docs: int = 20_000, calibration_docs: int = 4_0
     for k in range(len(langs)):
         own = best == k
         if own.any():
-            m.limit[k] = m.excess(best[own], h[own], n[own]).max() + slack
+            m.limit[k] = np.quantile(m.excess(best[own], h[own], n[own]), 0.98, method="lower") + slack
     return m
 
 
@@ -269,8 +271,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                     ok = best[own] >= 0
                     k, over = best[own][ok], np.ones(len(part), bool)
                     known = np.isfinite(m.mean[k])
-                    excess = np.where(known, (h[own][ok] - np.where(known, m.mean[k], 0)) * np.sqrt(n[ok] / (n[ok] + 100.0)), 0)
-                    over[ok] = excess > m.limit[k]
+                    over[ok] = known & (m.excess(k, h[own][ok], n[ok]) > m.limit[k])
                     reject[own] = over
             lang = pa.array([m.langs[k] if k >= 0 else "und" for k in best.tolist()], pa.string())
             h_ = pa.array(h, pa.float64(), mask=np.isnan(h))
