@@ -56,15 +56,23 @@ def refine_locations(events: DataFrame, mode: str = "snapshot") -> DataFrame:
         return events.groupBy("book_id", "character_id").applyInPandas(_sequential, events.schema)
     if mode != "snapshot":
         raise ValueError(f"unknown mode {mode!r}")
-    key, sign = ["book_id", "character_id"], ["location_type", *HIERARCHY, *TIME]
-    # Events of a character that agree in place and time are compared once.
-    filled = reduce(lambda p, q: p + q, [F.col(c).isNotNull().cast("int") for c in HIERARCHY])
-    one = F.min_by(F.struct(*PLACE), F.col("ordinal")).alias("place")
-    seen = events.groupBy(*key, *sign).agg(F.min("ordinal").alias("first"), one).withColumn("rank", F.struct(deepest_index().alias("d"), filled.alias("f"), (-F.col("first")).alias("o")))
-    a, b = events.select(*key, *sign).distinct().alias("a"), seen.alias("b")
-    cond = reduce(lambda p, q: p & q, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key]) & nests_inside() & time_compatible()
-    best = a.join(b, cond).groupBy(*[F.col(f"a.{c}").alias(c) for c in (*key, *sign)]).agg(F.max_by("b.place", "b.rank").alias("best"))
-    same = reduce(lambda p, q: p & q, [F.col(f"e.{c}").eqNullSafe(F.col(f"m.{c}")) for c in (*key, *sign)])
+    key, filled = ["book_id", "character_id"], reduce(lambda p, q: p + q, [F.col(c).isNotNull().cast("int") for c in HIERARCHY])
+    fixed = events.filter("location_type <> 'transit'")
+    # Every place is offered under each of the vaguer places that it would refine, of which it keeps only some levels: so
+    # nesting is an equality. Of equal times only the most specific place of each is offered.
+    rank = F.struct(deepest_index().alias("d"), filled.alias("f"), (-F.col("ordinal")).alias("o"))
+    keeps = [[n for n in range(len(HIERARCHY)) if mask >> n & 1] for mask in range(1 << len(HIERARCHY))]
+    vaguer = F.array(*[
+        F.when(F.col("_rank.d") > max(k, default=-1), F.struct(*[(F.col(c) if n in k else F.lit(None).cast("string")).alias(c) for n, c in enumerate(HIERARCHY)]))
+        for k in keeps
+    ])
+    offers = fixed.withColumn("_rank", rank).filter("_rank.d >= 0").select(*key, *TIME, F.struct(*PLACE).alias("_place"), "_rank", F.explode(F.array_distinct(F.array_compact(vaguer))).alias("_as"))
+    offers = offers.groupBy(*key, *TIME, "_as").agg(F.max_by("_place", "_rank").alias("_place"), F.max("_rank").alias("_rank")).select("*", "_as.*").alias("b")
+    asked = fixed.select(*key, *HIERARCHY, *TIME).distinct().alias("a")
+    cond = reduce(lambda p, q: p & q, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key] + [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in HIERARCHY])
+    sign = [*key, *HIERARCHY, *TIME]
+    best = asked.join(offers, cond & time_compatible()).groupBy(*[F.col(f"a.{c}").alias(c) for c in sign]).agg(F.max_by("b._place", "b._rank").alias("best"))
+    same = reduce(lambda p, q: p & q, [F.col(f"e.{c}").eqNullSafe(F.col(f"m.{c}")) for c in sign]) & (F.col("e.location_type") != "transit")
     out = [F.when(F.col("m.best").isNotNull(), F.col(f"m.best.{c}")).otherwise(F.col(f"e.{c}")).alias(c) if c in PLACE else F.col(f"e.{c}") for c in events.columns]
     return events.alias("e").join(best.alias("m"), same, "left").select(*out)
 
