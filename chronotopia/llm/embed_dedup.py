@@ -157,3 +157,13 @@ def near_duplicates(
 def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with its links, its component and whether it stays."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: DuckDB SQL for the query, by comparing all pairs of a label.
+ORACLE = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {COSINE}),
+reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, b FROM reach JOIN links ON a = r),
+comp AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v LEFT JOIN comp ON comp.vec_id = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = v.vec_id"""
