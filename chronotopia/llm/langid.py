@@ -31,7 +31,7 @@ PAD = ORDER - 1
 #: Length at which a cross-entropy varies so much that only its part above the mean divided by the root of 2 counts.
 SHORT = 30.0
 #: Characters that are scored together.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 _letters: list[np.ndarray] = []
 
 
