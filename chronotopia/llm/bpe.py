@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: The byte-level pre-tokenisation that tokenizer files of this kind name (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept between batches, and bytes of text encoded together: bounds on a worker's memory.
-CACHE_WORDS, CHUNK = 400_000, 16_000_000
+CACHE_WORDS, CHUNK = 150_000, 8_000_000
 
 
 def byte_letters() -> list[str]:
@@ -135,8 +135,6 @@ class PairIndexBPE:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         pieces, new = [], {}
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
         for t in texts:
             found: list[str] = []
             for part in self.split.split(t or "") if self.split else [t or ""]:
@@ -150,7 +148,10 @@ class PairIndexBPE:
         self.cache.update(zip(fresh, self.merge([w.encode("utf-8", "replace") for w in fresh])) if fresh else ())
         for tok, i in self.special.items():
             self.cache[tok] = np.array([i], "<u4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, found)) for found in pieces]
+        out = [b"".join(map(self.cache.__getitem__, found)) for found in pieces]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = {}
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -193,6 +194,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n), lists], [*keep, "n_tokens", "token_ids"])
 
+    small_batches(docs)
     src = docs.select(*keep, F.col("text").cast("string").alias("text")) if "text" not in keep else docs.select(*keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return src.mapInArrow(run, f"{kinds}, n_tokens long, token_ids array<int>")
@@ -230,7 +232,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

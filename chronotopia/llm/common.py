@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.session import checkpointed, shared_folder  # noqa: F401
+
+#: What Spark takes for the limit where none is set.
+ARROW_DEFAULT = "67108864b"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set, read by Spark so that any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is absent (a test session) a temporary one."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
-    return sc.getCheckpointDir()
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session of which Arrow batches hold 8 MB of texts at most (unless a limit is set there).
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    A worker then holds little at a time, however long the texts are.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == ARROW_DEFAULT:
+        conf.set(name, "8m")
+    return df
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], bin_col: str, order: Sequence[Column], value: Column, out: str) -> DataFrame:

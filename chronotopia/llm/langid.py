@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 ORDER = 4
 PAD = ORDER - 1
@@ -188,7 +188,7 @@ def _chunks(batch: pa.RecordBatch):
 def train(docs: DataFrame, train_docs: int = 20_000, calibration_docs: int = 4_000, slack: float = 1.0) -> Model:
     """Fit on labelled rows of which crc32(doc_id as text) mod 5 is 1 to 3, calibrate on those where it is 4."""
     spark = docs.sparkSession
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
         F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("fold"),
     ).withColumn("fold", F.col("fold") % 5)
@@ -280,6 +280,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    small_batches(docs)
     src = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("text"))
     new = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double", "boolean")))
     return src.mapInArrow(run, f"{kinds}, {new}")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -266,7 +266,7 @@ def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, report: bool = False) -
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, kinds + ", _pii array<string>" * report)
+    out = small_batches(docs).withColumn("text", F.col("text").cast("string")).mapInArrow(run, kinds + ", _pii array<string>" * report)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, local_roots, table
+from .common import checkpointed, connected_components, local_roots, small_batches, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -57,7 +57,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return ids.mapInArrow(run, "doc_id long, fp long")
 
 

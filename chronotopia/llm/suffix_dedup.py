@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, small_batches, table
 
 LENGTH, WINDOW, GRAM = 200, 120, 16
 #: Bytes of text that are hashed together, and contexts in a batch of the index family.
@@ -298,7 +298,7 @@ def find(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     if length - WINDOW + 1 < GRAM:
         raise ValueError(f"strings of at least {WINDOW + GRAM - 1} bytes only")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    src = docs.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("data"))
+    src = small_batches(docs).select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("data"))
     first = src.filter(F.octet_length("data") >= length).select("key", "data").mapInArrow(lambda it: _collect(it, length), FOUND)
     # Intervals settled in a batch are spread by their own hash and pass through.
     dealt = first.repartition(F.when(F.col("kind") == 0, F.col("seed")).otherwise(F.xxhash64("key", "lo")))
