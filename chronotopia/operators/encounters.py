@@ -72,17 +72,25 @@ NAMES = ("character", "book", "location", "time", "evidence", "location_type", "
 def encounter_groups(found: DataFrame, readable: DataFrame, order: Column | None = None) -> DataFrame:
     """Pairs grouped by characters and what is shown of both places and times; support_count counts point pairs.
 
-    The row shown for a group is the one least by ``order`` (a column of the pairs; by default the events' ids).
+    The row shown for a group is the one least by ``order`` (a column of the pairs; by default the events' ids). What is
+    shown of an event is numbered first, so pairs are grouped by numbers; texts are attached to the groups only.
     """
     shown = readable.select("event_id", *SIDE)
-    side = lambda s: shown.select(F.col("event_id").alias(f"event_id_{s}"), F.struct(*[F.col(c).alias(n) for c, n in zip(SIDE, NAMES)]).alias(s))
-    rows = found.withColumn("r", F.struct("event_id_a", "event_id_b", "point_role_a", "point_role_b") if order is None else order)
-    rows = rows.join(side("a"), "event_id_a").join(side("b"), "event_id_b")
-    key = ["character_id_a", "character_id_b", *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("location", "time")]]
-    one = F.min_by(F.struct("event_id_a", "event_id_b", "a", "b"), F.col("r")).alias("one")
-    grouped = rows.groupBy(*key).agg(F.count("*").alias("support_count"), one)
-    both = [F.col(f"one.{s}.{n}").alias(f"{n}_{s}") for s in "ab" for n in NAMES]
-    return grouped.select("character_id_a", "character_id_b", F.col("one.event_id_a").alias("event_id_a"), F.col("one.event_id_b").alias("event_id_b"), *both, "support_count")
+    alike = shown.groupBy("readable_location", "readable_time").agg(F.min("event_id").alias("shown_as"))
+    same = F.col("s.readable_location").eqNullSafe(F.col("n.readable_location")) & F.col("s.readable_time").eqNullSafe(F.col("n.readable_time"))
+    numbers = shown.alias("s").join(alike.alias("n"), same).select("s.event_id", "n.shown_as")
+    pick = F.struct("event_id_a", "event_id_b", "point_role_a", "point_role_b")
+    rows = found.withColumn("r", F.lit(0) if order is None else order)
+    for s in "ab":
+        rows = rows.join(numbers.toDF(f"event_id_{s}", f"shown_as_{s}"), f"event_id_{s}")
+    one = (F.min(pick) if order is None else F.min_by(pick, F.col("r"))).alias("one")
+    groups = rows.groupBy("character_id_a", "character_id_b", "shown_as_a", "shown_as_b").agg(F.count("*").alias("support_count"), one)
+    groups = groups.select("character_id_a", "character_id_b", "one.event_id_a", "one.event_id_b", "support_count")
+    for s in "ab":
+        side = shown.select(F.col("event_id").alias(f"event_id_{s}"), *[F.col(c).alias(f"{n}_{s}") for c, n in zip(SIDE, NAMES)])
+        groups = groups.join(side, f"event_id_{s}")
+    both = [f"{n}_{s}" for s in "ab" for n in NAMES]
+    return groups.select("character_id_a", "character_id_b", "event_id_a", "event_id_b", *both, "support_count")
 
 
 def bernoulli_cap(found: DataFrame, count: int, seed: int = 0, cap: int = CANDIDATE_CAP) -> DataFrame:
