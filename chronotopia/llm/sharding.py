@@ -1,13 +1,15 @@
 """Sharding by balanced label propagation: linked documents gather in a shard, and shards stay even in bytes.
 
-Documents are linked through a hub (here: equal texts). Linked documents begin in a shard by hash; in each round a
-hub's counts by shard are joined back to its documents, each of which asks to move to the hub's fullest shard that has
-room; requests are granted, by a hash, up to the room that is left (what leaves makes room too). Then documents
-without links, which cut nothing, fill every shard to its share: the largest to the emptiest, then along a hashed order in two classes of size, so that
-small ones even out what large ones leave. A hub larger than a shard fills one after the other.
+Documents are linked through a hub (here: equal texts). Hubs of 2 % of a shard or more are placed first, largest first, each
+whole in the emptiest shard, or in as few shards as have room for it. Documents of all other hubs begin in a shard by hash,
+and in each round a hub's counts by shard are joined back to its documents, each of which asks to move to the hub's fullest
+shard. Requests are granted, by a hash, up to the room that a shard has and what leaves it in the same round, so full shards
+swap. When nothing is asked for, or what is asked for no longer falls, the hubs that are still cut, and those above a shard's
+share, are dealt whole. Then documents without links, which cut nothing, fill every shard to its share: the largest to the
+emptiest, then along a hashed order in two classes of size, so that small ones even out what large ones leave.
 
-The law is ``bytes``: shards' sizes are near equal. Only 8 x 8 sums go to the driver in a round. Counts and running sums
-are taken by (shard, hash bin), so no shard and no hub is gathered in one task.
+The law is ``bytes``: shards' sizes are near equal. Only 8 x 8 sums go to the driver in a round, and the large hubs once.
+Counts and running sums are taken by (shard, hash bin), so no shard and no hub is gathered in one task.
 
 Edge cases: a null text has size 1 (none, plus 1), checksum 0 and no link; empty texts link with each other; rows that
 share doc_id are told apart by size and checksum, and equal rows get different slots; an empty table gives no rows.
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, running_sum, table
 
-SHARDS, ROUNDS, BINS = 8, 8, 4096
-#: A shard with less room than this part of its share takes no more requests.
-FULL = 0.05
+SHARDS, BINS = 8, 4096
+#: Rounds go on while the bytes that are asked to move fall to this part; what is cut then is dealt whole.
+FALLING = 0.9
 #: Documents without links are dealt by falling size: from 2 % of a shard one by one, from 0.2 %, the rest.
 LARGE, CLASSES = 0.02, (0.002, 0.0)
 
@@ -39,61 +41,106 @@ def _pick(values: list[float], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (index + 1).cast("int"))
 
 
-def propagate(linked: DataFrame, capacity: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``linked`` (hub, doc_id, size, crc) with ``shard``; no shard gets more than about ``capacity``."""
-    own = checkpointed(linked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "crc", F.lit(11)), F.lit(shards)).cast("int")))
-    for turn in range(rounds):
-        load = [0] * shards
-        for r in own.groupBy("shard").agg(F.sum("size").alias("n")).collect():
-            load[r["shard"]] = r["n"]
-        room = [max(0.0, capacity - x) for x in load]
+def _loads(df: DataFrame, shards: int) -> list[float]:
+    load = [0.0] * shards
+    for r in df.groupBy("shard").agg(F.sum("size").alias("n")).collect():
+        load[r["shard"]] = float(r["n"])
+    return load
+
+
+def place_large(linked: DataFrame, large: list[tuple[str, int, int]], load: list[float], capacity: float) -> DataFrame:
+    """``linked`` with ``shard``, for the hubs ``large`` (hub, bytes, documents, all of one size); adds to ``load``."""
+    rows = []
+    for hub, size, count in sorted(large, key=lambda x: (-x[1], x[0])):
+        each, at = size / count, 0
+        while at < count:
+            to = min(range(len(load)), key=lambda k: (load[k], k))
+            n = min(count - at, max(1, int((capacity - load[to]) / each + 1e-9)))
+            load[to] += n * each
+            rows.append((hub, at, at := at + n, to))
+    parts = linked.sparkSession.createDataFrame(rows, "hub string, low long, high long, shard int")
+    whole = parts.groupBy("hub").agg(F.count("*").alias("parts"), F.max("shard").alias("shard"))
+    one = linked.join(F.broadcast(whole.filter("parts = 1")), "hub").select("hub", "doc_id", "size", "crc", "shard")
+    cut = linked.join(F.broadcast(whole.filter("parts > 1").select("hub")), "hub").withColumn("h", _hash(7, "doc_id", "crc"))
+    cut = running_sum(cut.withColumn("bin", _bin(F.col("h"))), ["hub"], "bin", [F.col("h"), F.col("doc_id")], F.lit(1), "nth")
+    cut = cut.alias("l").join(F.broadcast(parts.alias("r")), F.expr("l.hub = r.hub AND l.nth > r.low AND l.nth <= r.high"))
+    return one.union(cut.select("l.hub", "doc_id", "size", "crc", "shard"))
+
+
+def grants(flow: list[list[float]], room: list[float]) -> list[float]:
+    """Part of the requests to each shard that fits its room and what leaves it by the same grants; flow[from][to]."""
+    n = len(room)
+    inward = [sum(flow[s][t] for s in range(n)) for t in range(n)]
+    grant = [1.0] * n
+    while True:
+        fits = [room[t] + sum(flow[t][s] * grant[s] for s in range(n)) for t in range(n)]
+        new = [min(grant[t], max(0.0, fits[t] / inward[t])) if inward[t] else 0.0 for t in range(n)]
+        if max(x - y for x, y in zip(grant, new)) < 1e-3:
+            return new
+        grant = new
+
+
+def propagate(linked: DataFrame, room: list[float]) -> DataFrame:
+    """``linked`` (hub, doc_id, size, crc) with ``shard``; shard k gets about ``room[k]`` at most, and hubs may still be cut."""
+    shards, all_ = len(room), sum(room) or 1.0
+    unit = _hash(11, "doc_id", "crc") / float(1 << 63)
+    start = sum((F.when(unit >= sum(room[: k + 1]) / all_, 1).otherwise(0) for k in range(shards - 1)), F.lit(0)).cast("int")
+    own, before, turn = checkpointed(linked.withColumn("shard", start)), None, 0
+    while True:
         by = own.groupBy("hub").agg(*[F.sum((F.col("shard") == k).cast("long")).alias(f"n{k}") for k in range(shards)])
-        if max(room) <= FULL * capacity:
-            break
-        # The fullest shard that has room; of equals, one by the hub's hash.
-        ask = F.array(*[F.struct(F.col(f"n{k}").alias("n"), F.pmod(F.xxhash64("hub", F.lit(k)), F.lit(1 << 30)).alias("t"), F.lit(k).alias("k")) for k in range(shards) if room[k] > FULL * capacity])
-        best = F.array_max(ask)
-        here = F.array(*[F.col(f"n{k}") for k in range(shards)])
-        wishes = by.select("hub", best.alias("best"), here.alias("here"))
-        found = own.join(wishes, "hub")
-        mine = F.struct(
-            F.element_at("here", F.col("shard") + 1).alias("n"), F.pmod(F.xxhash64("hub", F.col("shard")), F.lit(1 << 30)).alias("t"), F.col("shard").alias("k")
-        )
-        to = F.when(F.col("best") > mine, F.col("best.k")).otherwise(F.col("shard")).cast("int")
-        found = checkpointed(found.select("hub", "doc_id", "size", "crc", "shard", to.alias("to")))
-        flow = [[0] * shards for _ in range(shards)]
+        # The fullest shard; of equals, one by the hub's hash.
+        ask = F.array(*[F.struct(F.col(f"n{k}").alias("n"), F.pmod(F.xxhash64("hub", F.lit(k)), F.lit(1 << 30)).alias("t"), F.lit(k).alias("k")) for k in range(shards)])
+        found = own.join(by.select("hub", F.array_max(ask)["k"].cast("int").alias("to")), "hub")
+        found = checkpointed(found.select("hub", "doc_id", "size", "crc", "shard", "to"))
+        load, flow = _loads(found, shards), [[0.0] * shards for _ in range(shards)]
         for r in found.filter("shard <> to").groupBy("shard", "to").agg(F.sum("size").alias("n")).collect():
-            flow[r["shard"]][r["to"]] = r["n"]
-        inward = [sum(flow[s][t] for s in range(shards)) for t in range(shards)]
-        if not any(inward):
-            own = found.select("hub", "doc_id", "size", "crc", "shard")
-            break
-        grant = [min(1.0, room[t] / inward[t]) if inward[t] else 0.0 for t in range(shards)]
+            flow[r["shard"]][r["to"]] = float(r["n"])
+        asked = sum(map(sum, flow))
+        if not asked or (before is not None and asked > FALLING * before):
+            return found.select("hub", "doc_id", "size", "crc", "shard")
+        before, grant = asked, grants(flow, [room[k] - load[k] for k in range(shards)])
         unit = _hash(100 + turn, "doc_id", "crc") / float(1 << 63)
         moved = F.when((F.col("to") != F.col("shard")) & (unit < _pick(grant, F.col("to"))), F.col("to")).otherwise(F.col("shard"))
-        own = checkpointed(found.select("hub", "doc_id", "size", "crc", moved.cast("int").alias("shard")))
-    return own.select("hub", "doc_id", "size", "crc", "shard")
-
-
-def fill(free: DataFrame, load: list[float], capacity: float) -> DataFrame:
-    """``free`` (doc_id, size, crc) with ``shard``: along a hashed order, each shard up to its share.
-
-    There are at most shards / LARGE documents of LARGE of a shard each: those go, largest first, to the emptiest.
-    """
-    large = sorted((-r["size"], r["crc"], r["doc_id"] is None, r["doc_id"] or 0) for r in free.filter(F.col("size") >= LARGE * capacity).collect())
-    rows = []
-    for size, crc, unknown, doc in large:
-        to = min(range(len(load)), key=lambda k: (load[k], k))
-        load[to] -= size
-        rows.append((None if unknown else doc, -size, crc, to))
-    done = free.sparkSession.createDataFrame(rows, "doc_id long, size long, crc long, shard int")
-    bound = LARGE * capacity
-    h = _hash(5, "doc_id", "crc")
-    free = free.withColumn("h", h).withColumn("bin", _bin(h)).withColumn("one", F.lit(0))
+        own, turn = found.select("hub", "doc_id", "size", "crc", moved.cast("int").alias("shard")), turn + 1
+
+
+def settle(own: DataFrame, load: list[float], capacity: float) -> DataFrame:
+    """``own`` with every hub in one shard: hubs that are cut or above their shard's share are dealt whole; adds to ``load``."""
+    hubs = own.groupBy("hub").agg(F.sum("size").alias("size"), F.min("shard").alias("shard"), F.max("shard").alias("last"))
+    h = _hash(9, "hub")
+    hubs = checkpointed(hubs.withColumn("h", h).withColumn("bin", _bin(h)))
+    whole = running_sum(hubs.filter("shard = last"), ["shard"], "bin", [F.col("h"), F.col("hub")], F.col("size"), "sum")
+    room = _pick([capacity - x for x in load], F.col("shard"))
+    whole = checkpointed(whole.select("hub", "size", "shard", (F.col("sum") <= room).alias("fits")))
+    kept = whole.filter("fits").select("hub", "size", "shard")
+    for k, x in enumerate(_loads(kept, len(load))):
+        load[k] += x
+    rest = hubs.filter("shard < last").select("hub", "size").union(whole.filter("NOT fits").select("hub", "size"))
+    to = kept.select("hub", "shard").union(deal(rest, ["hub"], load, capacity).select("hub", "shard"))
+    return own.drop("shard").join(to, "hub").select("hub", "doc_id", "size", "crc", "shard")
+
+
+def gather(linked: DataFrame, load: list[float], capacity: float) -> DataFrame:
+    """``linked`` (hub, doc_id, size, crc) with ``shard``; adds to ``load``, and no shard gets more than about ``capacity``."""
+    hubs = linked.groupBy("hub").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).filter(F.col("n") >= LARGE * capacity)
+    large = [(r["hub"], r["n"], r["docs"]) for r in hubs.collect()]
+    if not large:
+        return settle(propagate(linked, [capacity - x for x in load]), load, capacity)
+    first = place_large(linked, large, load, capacity)
+    named = linked.sparkSession.createDataFrame([(x[0],) for x in large], "hub string")
+    small = linked.join(F.broadcast(named), "hub", "left_anti")
+    return first.union(settle(propagate(small, [max(0.0, capacity - x) for x in load]), load, capacity))
+
+
+def deal(items: DataFrame, keys: list[str], load: list[float], capacity: float) -> DataFrame:
+    """``items`` (keys, size) of less than LARGE of a shard with ``shard``: along a hashed order, each shard up to its share."""
+    h = _hash(5, *keys)
+    items = checkpointed(items.withColumn("h", h).withColumn("bin", _bin(h)).withColumn("one", F.lit(0)))
+    done, bound = [], float("inf")
     for share in CLASSES:
-        own = free.filter((F.col("size") >= share * capacity) & (F.col("size") < bound))
+        own = items.filter((F.col("size") >= share * capacity) & (F.col("size") < bound))
         bound = share * capacity
-        own = running_sum(own, ["one"], "bin", [F.col("h"), F.col("doc_id"), F.col("size")], F.col("size"), "sum")
+        own = running_sum(own, ["one"], "bin", [F.col("h"), *map(F.col, keys), F.col("size")], F.col("size"), "sum")
         size = own.agg(F.max("sum")).first()[0]
         if size is None:
             continue
@@ -106,11 +153,29 @@ def fill(free: DataFrame, load: list[float], capacity: float) -> DataFrame:
             edges.append(at)
         middle = F.col("sum") - F.col("size") / 2
         shard = sum((F.when(middle > e, 1).otherwise(0) for e in edges[:-1]), F.lit(0)).cast("int")
-        own = checkpointed(own.select("doc_id", "size", "crc", shard.alias("shard")))
-        for r in own.groupBy("shard").agg(F.sum("size").alias("n")).collect():
-            load[r["shard"]] += r["n"]
-        done = done.union(own)
-    return done
+        own = checkpointed(own.select(*keys, "size", shard.alias("shard")))
+        for k, x in enumerate(_loads(own, len(load))):
+            load[k] += x
+        done.append(own)
+    if not done:
+        return items.select(*keys, "size", F.lit(0).alias("shard"))
+    return done[0] if len(done) == 1 else done[0].union(done[1])
+
+
+def fill(free: DataFrame, load: list[float], capacity: float) -> DataFrame:
+    """``free`` (doc_id, size, crc) with ``shard``, each shard up to its share.
+
+    There are at most shards / LARGE documents of LARGE of a shard each: those go, largest first, to the emptiest.
+    """
+    large = sorted((-r["size"], r["crc"], r["doc_id"] is None, r["doc_id"] or 0) for r in free.filter(F.col("size") >= LARGE * capacity).collect())
+    rows = []
+    for size, crc, unknown, doc in large:
+        to = min(range(len(load)), key=lambda k: (load[k], k))
+        load[to] -= size
+        rows.append((None if unknown else doc, -size, crc, to))
+    done = free.sparkSession.createDataFrame(rows, "doc_id long, size long, crc long, shard int")
+    small = deal(free.filter(F.col("size") < LARGE * capacity), ["doc_id", "crc"], load, capacity)
+    return done.union(small.select("doc_id", "size", "crc", "shard"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -122,10 +187,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = float(rows.agg(F.sum("size")).first()[0] or 0)
     capacity = total / shards
     hubs = rows.filter("hub IS NOT NULL").groupBy("hub").count().filter("count > 1").select("hub")
-    linked = propagate(rows.join(hubs, "hub", "left_semi").select("hub", "doc_id", "size", "crc"), capacity, shards)
-    load = [0.0] * shards
-    for r in linked.groupBy("shard").agg(F.sum("size").alias("n")).collect():
-        load[r["shard"]] += r["n"]
+    linked, load = checkpointed(rows.join(hubs, "hub", "left_semi").select("hub", "doc_id", "size", "crc")), [0.0] * shards
+    linked = gather(linked, load, capacity)
     free = rows.join(hubs, "hub", "left_anti").select("doc_id", "size", "crc")
     placed = linked.select("doc_id", "size", "crc", "shard").union(fill(free, load, capacity))
     h = _hash(3, "doc_id", "crc")

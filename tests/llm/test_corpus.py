@@ -130,6 +130,32 @@ def test_sharding(spark, tmp_path):
     assert sum(len(v) > 1 for v in small.values()) <= 1
 
 
+@pytest.mark.parametrize("hot", [0, 1100])
+def test_sharding_of_a_table_that_is_nearly_all_copies(spark, tmp_path, hot):
+    """Groups of 2, 5 and 20 copies of equal size, 10 rows without a copy, and a group that holds a third of all rows."""
+    texts = [f"{k:08d} " * 20 for k in range(400)]
+    sizes = [(2, 5, 20)[k % 3] for k in range(250)] + [1] * 10 + [hot]
+    rows = list(enumerate(t for t, n in zip(texts, sizes) for _ in range(n)))
+    got = sharding.op10_sharding(spark, documents(spark, tmp_path, rows, "shard")).collect()
+    assert len(got) == len(rows)
+    load, held = collections.Counter(), collections.defaultdict(collections.Counter)
+    for r in got:
+        load[r.shard] += r.size
+        held[r.text_crc32][r.shard] += 1
+    assert len(load) == 8 and max(load.values()) - min(load.values()) <= 0.05 * sum(load.values()) / 8
+    pairs = lambda n: n * (n - 1) // 2
+    whole = sum(pairs(sum(v.values())) for v in held.values() if sum(v.values()) <= 20)
+    together = sum(pairs(n) for v in held.values() if sum(v.values()) <= 20 for n in v.values())
+    assert together >= 0.97 * whole
+    assert not hot or sorted(len(v) for v in held.values())[-1] == 3
+
+
+def test_full_shards_swap():
+    assert sharding.grants([[0, 5], [5, 0]], [0, 0]) == [1, 1]
+    assert sharding.grants([[0, 10], [5, 0]], [0, 0]) == [1, 0.5]
+    assert sharding.grants([[0, 10], [0, 0]], [0, -1]) == [0, 0]
+
+
 def test_empty_tables(spark, tmp_path):
     d = documents(spark, tmp_path, [(1, "x")])
     none = f"{tmp_path}/none"
