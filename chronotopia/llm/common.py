@@ -30,6 +30,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Names of a row's key, see row_key.
+KEY = ("_row_a", "_row_b")
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """128 bits of hash over all columns, nulls told apart: rows with one key are equal, so any of them will do."""
+    cols = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return [F.xxhash64(F.lit(seed), *cols).alias(name) for seed, name in zip((17, 18), KEY)]
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], bin_col: str, order: Sequence[Column], value: Column, out: str) -> DataFrame:
     """``out`` = sum of ``value`` over the rows of the same ``keys`` up to and including this row.
 

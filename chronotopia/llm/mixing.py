@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, running_sum, table
+from .common import KEY, checkpointed, row_key, running_sum, table
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -52,11 +52,11 @@ def _range(v: Column) -> Column:
     return F.when(v < 2, F.floor(v * BINS).cast("int")).otherwise(wide)
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every row."""
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None, seed: int = 7, keyed: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) of every row, and the row's key if ``keyed``."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *(row_key(docs) if keyed else [])))
     sizes = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     sizes.sort(key=lambda x: (x[0] is None, x[0] or ""))
     goals = targets(sizes, weights, repeats, budget)
@@ -67,11 +67,12 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REP
     rows = rows.withColumn("h", hashed).withColumn("bin", F.shiftrightunsigned("h", 64 - BINS.bit_length() + 1).cast("int"))
     # Order of the unsigned hash; shifting one place keeps it in a signed column.
     rows = rows.withColumn("h", F.shiftrightunsigned("h", 1))
-    order = [F.col("h"), F.col("doc_id"), F.col("size")]
+    keys = KEY if keyed else ()
+    order = [F.col(c) for c in ("h", "doc_id", "size", *keys)]
     rows = checkpointed(running_sum(rows, ["sid"], "bin", order, F.col("size"), "sent").drop("h", "bin"))
     cut = _cut(rows, repeats, float(sum(n for _, n in sizes)) if budget is None else float(budget))
     copies = sum((F.when(_before_cut(rows, e, cut), 1).otherwise(0) for e in range(repeats)), F.lit(0)) if cut else F.lit(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *keys)
 
 
 def _finish(e: int | Column) -> Column:
@@ -122,9 +123,14 @@ def _cut(rows: DataFrame, repeats: int, budget: float) -> tuple | None:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them; rows that share a doc_id are repeated alike."""
-    taken = plan(docs, weights, repeats, budget).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    found = docs.join(taken, "doc_id")
+    """The rows of ``docs`` as often as the mix takes them, each row for itself; equal rows are interchangeable."""
+    taken = plan(docs, weights, repeats, budget, keyed=True).groupBy(*KEY).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
+    taken = checkpointed(taken.filter("_copies > 0"))
+    keyed = docs.select("*", *row_key(docs))
+    # Of equal rows one is left, and repeated as often as all of them are taken; other rows need no such pass.
+    alone = keyed.join(taken.filter("_rows = 1"), [*KEY])
+    equal = keyed.join(taken.filter("_rows > 1"), [*KEY]).dropDuplicates([*KEY])
+    found = alone.union(equal.select(*alone.columns))
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

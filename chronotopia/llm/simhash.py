@@ -17,15 +17,17 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, local_roots, small_batches, table
+from .common import KEY, checkpointed, connected_components, local_roots, row_key, small_batches, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: A signature's members beyond this are dealt in blocks, and pairs of blocks go to tasks of their own.
 BLOCK = 2048
+#: Links that a task holds before it folds them into stars, or twice the stars if those are more.
+FOLD = 250_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -48,17 +50,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long) for every row."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp long) for every row, and the row's key if ``keyed``."""
+    names = ["doc_id", *(KEY if keyed else ())]
 
     def run(batches):
         for b in batches:
             texts = b.column("text")
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(fps.view(np.int64), pa.int64())], [*names, "fp"])
 
-    ids = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, fp long")
+    key = row_key(docs) if keyed else []
+    ids = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *key, F.col("text").cast("string").alias("text"))
+    return ids.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def _linked(key: np.ndarray, left: np.ndarray, fp: np.ndarray, distance: int):
@@ -99,14 +103,14 @@ def _edges_of(rows, distance: int, block: int, blocks: bool):
         big = sizes > block
         out = {"key": [key[big]], "a": [fp[big]], "b": [sizes[big]]}
         key, fp, left = key[~big], fp[~big], left[~big]
-    a, b, held = [], [], 0
+    a, b, held, most = [], [], 0, FOLD
     for x, y in _linked(key, left, fp, distance):
         a.append(x)
         b.append(y)
         held += len(x)
-        if held > 2_000_000:  # fold into stars, so that memory stays within the number of nodes
+        if held > most:  # fold into stars, so that memory stays within the number of nodes
             x, y = (z.view(np.int64) for z in local_roots(np.concatenate(a), np.concatenate(b)))
-            a, b, held = [x.view(np.uint64)], [y.view(np.uint64)], len(x)
+            a, b, held, most = [x.view(np.uint64)], [y.view(np.uint64)], len(x), max(FOLD, 2 * len(x))
     if a and sum(map(len, a)):
         x, y = local_roots(np.concatenate(a), np.concatenate(b))
         x, y = x[x != y], y[x != y]
@@ -143,21 +147,29 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     )
 
 
+def _least(rows: DataFrame, value: Column, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) for every ``fp`` of ``rows``, and (root, least), the least ``value`` of what links reach."""
+    fps = rows.groupBy("fp").agg(F.min(value).alias("least"))
+    roots = connected_components(links(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
+    named = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return named.select("fp", "root"), named.groupBy("root").agg(F.min("least").alias("least"))
+
+
 def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id that links reach."""
     rows = checkpointed(with_fingerprints(docs))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = connected_components(links(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
-    named = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
+    named, least = _least(rows, F.col("doc_id"), distance)
+    of = named.join(least.withColumnRenamed("least", "component_id"), "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` of which doc_id is the smallest of their component; of rows with one doc_id, one."""
-    keep = components(docs, distance).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of ``docs`` of each component: that of the smallest doc_id; null is the largest, and of equals the row's key decides."""
+    rows = checkpointed(with_fingerprints(docs, keyed=True))
+    _, least = _least(rows, F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *KEY), distance)
+    keep = least.select(*[F.col(f"least.{k}").alias(k) for k in KEY])
+    found = docs.select("*", *row_key(docs)).join(keep, [*KEY], "left_semi")
+    return found.dropDuplicates([*KEY]).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """The corpus pipeline: documents to token ids, in five stages, each of which is one operator's work.
 
 A stage takes (spark, docs, sf_dir), is written as Parquet and reread as the next one's ``docs``; all but the last
-return the columns of documents. Rows without a doc_id cannot be kept by the second stage; everything else that a stage
-drops is its decision: texts whose language is rejected, near-duplicates but the one with the smallest doc_id of each
-group, and documents that the mix does not take. The mix repeats rows of sources that are to weigh more.
+return the columns of documents. Rows are told apart by all their columns, so a doc_id may be null or shared. What a
+stage drops is its decision: texts whose language is rejected, near-duplicates but the one with the smallest doc_id of
+each group, and documents that the mix does not take. The mix repeats rows of sources that are to weigh more.
 """
 
 from __future__ import annotations

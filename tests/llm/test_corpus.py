@@ -130,6 +130,20 @@ def test_sharding(spark, tmp_path):
     assert sum(len(v) > 1 for v in small.values()) <= 1
 
 
+def test_mix_takes_each_row_for_itself(spark, tmp_path):
+    """Rows without a doc_id, rows that share one, and equal rows, against what the plan takes of each text."""
+    rng = random.Random(5)
+    rows = [(i % 40 if i % 3 else None, f"{i} " + prose(rng, rng.randint(5, 60)), "en", "abc"[i % 3 - i % 2]) for i in range(300)]
+    rows += rows[:6] * 2 + [(1, "x y z", None, "b"), (1, "x y z", "b", None)]
+    docs = spark.read.parquet(f"{documents(spark, tmp_path, rows)}/documents.parquet")
+    mixed = [collections.Counter(map(tuple, mixing.mix(docs.repartition(n)).collect())) for n in (1, 5)]
+    assert mixed[0] == mixed[1] and sum(r[0] is None for r in mixed[0]) > 20
+    words = lambda n: sum(len(r[1].split()) * k for r, k in n.items())
+    assert abs(words(mixed[0]) - sum(len(r[1].split()) for r in rows)) <= 60
+    want = sum(r["size"] * r.copies for r in mixing.plan(docs).collect())
+    assert abs(words(mixed[0]) - want) <= 60 and max(mixed[0].values()) <= 3 * max(collections.Counter(rows).values())
+
+
 @pytest.mark.parametrize("hot", [0, 1100])
 def test_sharding_of_a_table_that_is_nearly_all_copies(spark, tmp_path, hot):
     """Groups of 2, 5 and 20 copies of equal size, 10 rows without a copy, and a group that holds a third of all rows."""

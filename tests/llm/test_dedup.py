@@ -1,10 +1,11 @@
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
 import xxhash
-from util import documents, some_rows
+from util import documents, prose, some_rows
 
 from chronotopia.llm import simhash, suffix_dedup
 
@@ -42,6 +43,19 @@ def test_simhash_is_as_brute_force(spark, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) and kept.columns[-1] == "component_id"
 
 
+def test_one_row_of_each_group_stays_whatever_its_doc_id(spark, tmp_path):
+    rng = random.Random(8)
+    alone, near, other, null, both = (prose(rng, 150) for _ in range(5))
+    rows = [(None, alone), (3, near), (5, near + " "), (5, other), (None, null), (None, null), (None, null + "  "), (7, both), (None, both), (9, both, "fr")]
+    docs = spark.read.parquet(f"{documents(spark, tmp_path, rows)}/documents.parquet")
+    for parts in (1, 7):
+        kept = simhash.near_dedup(docs.repartition(parts)).collect()
+        got = sorted(((r.doc_id, r.text.strip()) for r in kept), key=str)
+        assert got == sorted([(None, alone), (3, near), (5, other), (None, null), (7, both)], key=str)
+        assert parts == 1 or kept and sorted(map(str, kept)) == before
+        before = sorted(map(str, kept))
+
+
 def test_large_signatures_go_in_blocks(spark):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 2**63))
