@@ -8,7 +8,8 @@ key that no language has seen backs off through those. The language with the low
 Fitting uses a bounded sample: at most about ``train_docs`` labelled documents in all, shared evenly over the
 languages and drawn by a hash of doc_id, and ``calibration_docs`` others, on which the rejection is calibrated: a
 document is rejected when its cross-entropy lies above its language's mean by ``slack`` more than that of 98 % of
-those, with an allowance for short texts. Counting n-grams is distributed; the model is bounded by the sample.
+those, with an allowance for short texts. A language that none of those is predicted as takes the mean and the limit of
+all of them together; only where there are none at all is nothing rejected but texts without a letter. Counting n-grams is distributed; the model is bounded by the sample.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and rejected; without any labelled row
 everything is; rows are independent, so repeated rows and ties in doc_id need no rule; equal cross-entropies go to the
@@ -239,6 +240,9 @@ def train(docs: DataFrame, train_docs: int = 20_000, calibration_docs: int = 4_0
     seen = rest.select("text").mapInArrow(entropies, "l int, h double, n long").toArrow()
     best, h, n = (seen.column(x).to_numpy() for x in ("l", "h", "n"))
     m.mean, m.limit = np.full(len(langs), np.inf), np.full(len(langs), np.inf)
+    if len(h):  # of all languages together, for those without a document of their own
+        m.mean[:] = np.average(h, weights=np.minimum(n, 1000))
+        m.limit[:] = np.quantile(m.excess(best, h, n), 0.98, method="lower") + slack
     for k in range(len(langs)):
         own = best == k
         if own.any():

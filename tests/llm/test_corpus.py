@@ -62,6 +62,17 @@ def test_language_id(spark, tmp_path):
     assert by[1004].lang_pred == "aa" and by[None].lang_pred == "bb"
 
 
+def test_language_without_calibration_documents_still_rejects(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(40))
+    ids = [i for i in range(2000, 2200) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)][:40]
+    fresh = [i for i in range(3000, 3040)]
+    rows = languages() + [(i, text("ijklmn"), "dd") for i in ids] + [(i, text("ijklmn"), None) for i in fresh] + [(4000 + i, text("ijжщфцб"), None) for i in range(20)]
+    by = {r.doc_id: r for r in langid.op2_langid(spark, documents(spark, tmp_path, rows)).collect()}
+    assert {by[i].lang_pred for i in [*ids, *fresh, *range(4000, 4020)]} == {"dd"}
+    assert not any(by[i].rejected for i in [*ids, *fresh]) and all(by[4000 + i].rejected for i in range(20))
+
+
 def test_language_model_is_a_distribution():
     texts = [t for _, t, k in languages(2, 30) if k == "aa"]
     key, *_ = langid.grams(texts)
