@@ -1,23 +1,28 @@
 """Approximate nearest neighbours (largest inner product) by a permutation index.
 
-Every vector is represented by its ``prefix`` nearest pivots in order of nearness. Vectors are posted, with the
-position, in the inverted file of each of these pivots. A query reads the files of its own nearest pivots, which gives
-the footrule distance of the two orders (a pivot outside a prefix counts as next after it); the candidates of least
-footrule, with all ties, are ranked again by the exact inner product in double precision. To make nearness of
-directions agree with the inner product, vectors get one component more, which brings all to the largest length.
-
-The pivots are 128 vectors of a bounded sample (the 2048 of the smallest hashes), each chosen farthest from those before
-it, so near copies give one pivot; the index holds every row. It is cut in blocks of rows; queries, in blocks too, visit each block, and each answers with its best, which are merged. In a
-block at least ``share`` of the rows and 1024 are ranked again, besides all whose order agrees by half with the
-query's: so a crowd of near copies, however large, is never cut off.
-
-Edge cases: vectors that are null, zero or hold null or non-finite components, those without vec_id and those of
-another length than the commonest take no part; rows that share vec_id count as one, the least in array order; equal
-scores rank by the smaller vec_id; with fewer candidates than ``k`` all are returned.
+Every vector is represented by its ``prefix`` nearest pivots in order of nearness, and posted, with the position, in the
+inverted file of each of these pivots. A query reads the files of its own nearest pivots and sums up the footrule
+distance of the two orders (a pivot outside a prefix counts as next after it). The ``share`` of the rows of least
+footrule, with all ties and all rows whose order agrees by half with the query's (so a crowd of near copies, however
+large, is never cut off), is ranked again by the exact inner product in double precision. To make nearness of directions
+agree with the inner product, vectors get one component more, which brings all to the largest length.
+
+The pivots are 256 vectors of a bounded sample (the 2048 of the smallest hashes), each chosen farthest from those before
+it, so near copies give one pivot; the index holds every row. Its files are cut by rows into blocks; the queries visit each
+block, which answers with its best, and these are merged. Rows are sent once for each ``queries_block`` queries (so once,
+up to 1.3 million rows), queries once for each block; a task holds one block of rows and one of queries. The same share
+is ranked again at every size.
+
+Edge cases: vectors that are null, zero or hold null or non-finite components, and those without vec_id, take no part;
+vectors of each length have an index of their own (so lengths should be few) and are compared with that length only; rows
+that share vec_id are rows of their own, each of them a query if the number says so, and each other's candidates; equal
+scores rank by the smaller vec_id; with fewer candidates than ``k`` all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 from .vectors import matrix, unit, usable
 
-SAMPLE, PIVOTS, PREFIX, SHARE, LEAST = 2048, 128, 32, 0.4, 1024
-ROWS_BLOCK, QUERIES_BLOCK = 16_384, 2048
+SAMPLE, PIVOTS, PREFIX, SHARE = 2048, 256, 64, 0.2
+#: Most rows and most queries of a task; blocks of rows at least, so that small tables are shared by several tasks too.
+ROWS_BLOCK, QUERIES_BLOCK, LEAST_BLOCKS = 65_536, 65_536, 8
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -55,8 +61,8 @@ def apart(x: np.ndarray, n: int) -> np.ndarray:
 class Block:
     """The inverted files of some rows."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, pivots: np.ndarray, longest: float, prefix: int) -> None:
-        self.x, self.ids = x, ids
+    def __init__(self, x: np.ndarray, ids: np.ndarray, rows_of: np.ndarray, pivots: np.ndarray, longest: float, prefix: int) -> None:
+        self.x, self.ids, self.rows_of = x, ids, rows_of
         own = orders(lifted(x, longest), pivots, prefix)
         post = np.argsort(own.ravel(), kind="stable")
         self.rows, self.places = (post // prefix).astype(np.int32), (post % prefix).astype(np.int32)
@@ -70,69 +76,79 @@ class Block:
         gain = np.concatenate([self.prefix - np.maximum(j, self.places[s]) for j, s in enumerate(parts)])
         return np.bincount(rows, gain, len(self.ids))
 
-    def search(self, q: np.ndarray, order: np.ndarray, own_id: int, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best rows, best first."""
+    def candidates(self, order: np.ndarray, k: int, share: float) -> np.ndarray:
+        """Numbers of the rows to rank again; all rows where fewer than ``k`` have a pivot in common with the query."""
         close = self.closeness(order)
-        want = max(least, int(np.ceil(share * len(close))))
-        if want < len(close):
-            edge = np.partition(close, len(close) - want)[len(close) - want]
-            rows = np.flatnonzero(close >= max(1, min(edge, self.prefix * (self.prefix + 1) / 4)))
-        else:
-            rows = np.arange(len(close))
-        rows = rows[self.ids[rows] != own_id]
+        want = min(len(close), max(k, int(np.ceil(share * len(close)))))
+        edge = np.partition(close, len(close) - want)[len(close) - want]
+        rows = np.flatnonzero(close >= max(1, min(edge, self.prefix * (self.prefix + 1) / 4)))
+        return rows if len(rows) > k else np.arange(len(close))
+
+    def search(self, q: np.ndarray, order: np.ndarray, own: int, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and scores of the best rows but the one numbered ``own``, best first."""
+        rows = self.candidates(order, k, share)
+        rows = rows[self.rows_of[rows] != own]
         rough = self.x[rows] @ q
         if len(rows) > k:
             edge = np.partition(rough, len(rows) - k)[len(rows) - k]
             rows = rows[rough >= edge - 1e-9 * max(1.0, abs(edge))]
         score = (self.x[rows] * q).sum(axis=1)
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows[best]], score[best]
+        best = np.lexsort((self.rows_of[rows], self.ids[rows], -score))[:k]
+        return rows[best], score[best]
 
 
-def search(
-    vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST,
-    rows_block: int = ROWS_BLOCK, queries_block: int = QUERIES_BLOCK,
+def _search_length(
+    src: DataFrame, dim: int, n: int, queries: int, longest: float, every: int, k: int, pivots: int, prefix: int, share: float, rows_block: int, queries_block: int
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vec_id divisible by ``every`` the ``k`` nearest of all other rows."""
-    spark = vectors.sparkSession
-    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    src = src.filter(F.col("vec_id").isNotNull() & usable("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
-    src = checkpointed(src.withColumn("dim", F.size("x")))
-    dims = src.groupBy("dim").agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("int")).alias("q"), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("m"))
-    top = dims.orderBy(F.desc("n"), "dim").limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not top:
-        return spark.createDataFrame([], out)
-    dim, n, queries, longest = top[0]["dim"], top[0]["n"], top[0]["q"], float(np.sqrt(top[0]["m"]))
-    src = src.filter(F.col("dim") == dim).select("vec_id", "x")
-    sample = np.array([r["x"] for r in src.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(SAMPLE).collect()]).reshape(-1, dim)
+    """The search among the vectors of one length."""
+    src = src.filter(F.col("dim") == dim).select("vec_id", "row", "x")
+    sample = np.array([r["x"] for r in src.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id", "x").limit(SAMPLE).collect()], np.float64).reshape(-1, dim)
     chosen = apart(lifted(sample, longest), pivots)
-    fitted = spark.sparkContext.broadcast((chosen, longest))
+    fitted = src.sparkSession.sparkContext.broadcast((chosen, longest))
     prefix = min(prefix, len(chosen))
-    nb, nq = -(-n // rows_block), max(1, -(-queries // queries_block))
-    spread = lambda seed, of: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(of)).cast("int")
+    nb, nq = min(n, max(LEAST_BLOCKS, -(-n // rows_block))), max(1, -(-queries // queries_block))
+    spread = lambda seed, of: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    rows = src.select(F.lit(False).alias("is_query"), "vec_id", "x", spread(1, nb).alias("b"), each(nq).alias("q"))
-    asks = src.filter(F.col("vec_id") % every == 0).select(F.lit(True).alias("is_query"), "vec_id", "x", spread(2, nq).alias("q"), each(nb).alias("b"))
+    rows = src.select(F.lit(False).alias("is_query"), "vec_id", "row", "x", spread(1, nb).alias("b"), each(nq).alias("q"))
+    asks = src.filter(F.col("vec_id") % every == 0).select(F.lit(True).alias("is_query"), "vec_id", "row", "x", spread(2, nq).alias("q"), each(nb).alias("b"))
 
     def answer(t: pa.Table) -> pa.Table:
         p, m = fitted.value
-        x, ids, query = matrix(t.column("x"), dim), t.column("vec_id").to_numpy(), t.column("is_query").to_numpy()
-        found: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        x, ids, number, query = matrix(t.column("x"), dim), t.column("vec_id").to_numpy(), t.column("row").to_numpy(), t.column("is_query").to_numpy()
+        found: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if query.any() and not query.all():
-            block = Block(x[~query], ids[~query], p, m, prefix)
+            block = Block(x[~query], ids[~query], number[~query], p, m, prefix)
             own = orders(np.c_[unit(x[query]), np.zeros(query.sum())], p, prefix)
-            for q, order, i in zip(x[query], own, ids[query].tolist()):
-                vec, score = block.search(q, order, i, k, share, least)
-                found.append((np.full(len(vec), i), vec, score))
-        a, b, c = (np.concatenate(v) for v in zip(*found))
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    both = rows.unionByName(asks).groupBy("b", "q").applyInArrow(answer, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for q, order, i, r in zip(x[query], own, ids[query].tolist(), number[query].tolist()):
+                best, score = block.search(q, order, r, k, share)
+                found.append((np.full(len(best), r), np.full(len(best), i), block.ids[best], block.rows_of[best], score))
+        names = ("query", "query_id", "vec_id", "row", "score")
+        return pa.table({c: pa.array(np.concatenate(v)) for c, v in zip(names, zip(*found))})
+
+    both = rows.unionByName(asks).groupBy("b", "q").applyInArrow(answer, "query long, query_id long, vec_id long, row long, score double")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def search(
+    vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE,
+    rows_block: int = ROWS_BLOCK, queries_block: int = QUERIES_BLOCK,
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose vec_id ``every`` divides the ``k`` nearest of all other rows."""
+    spark = vectors.sparkSession
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("x"))
+    src = src.filter(F.col("vec_id").isNotNull() & usable("x")).withColumn("dim", F.size("x"))
+    src = checkpointed(src.withColumn("row", F.monotonically_increasing_id()))
+    square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    lengths = src.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(square).alias("m"))
+    found = []
+    for r in sorted(lengths.collect()):
+        if r["n"] > 1 and r["q"]:
+            found.append(_search_length(src, r["dim"], r["n"], r["q"], float(np.sqrt(r["m"])), every, k, pivots, prefix, share, rows_block, queries_block))
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one."""
     return search(table(spark, sf_dir, "embeddings"))

@@ -43,24 +43,46 @@ def test_near_duplicates_are_as_brute_force(spark, tmp_path):
         assert all(got[k] == (0, k, True) for k in (900, 901, 902, 903, 904, 905, 910, None))
 
 
+def exact(x, ids, number, k=20):
+    """The k nearest of the row ``number``, best first."""
+    score = x @ x[number]
+    return [(int(ids[i]), score[i]) for i in np.lexsort((ids, -score)) if i != number][:k]
+
+
 def test_search_finds_the_nearest(spark, tmp_path):
     x, labels = vectors(2)
     x[:50] *= np.linspace(0.2, 4, 50)[:, None]
-    d = table(spark, tmp_path, x, labels, [*ODD, (299, [9.0] * 16, 1, "x")])
-    rows = ann.search(spark.read.parquet(f"{d}/embeddings.parquet"), least=64, rows_block=128, queries_block=8).collect()
+    d = table(spark, tmp_path, x, labels, ODD)
+    rows = ann.search(spark.read.parquet(f"{d}/embeddings.parquet"), rows_block=40, queries_block=8).collect()
     lost = 0
     x = np.float32(x).astype(float)
-    x[299] = min([tuple(x[299]), (9.0,) * 16])
     for q in range(0, 300, 20):
-        got = sorted((r.rank, r.vec_id, r.score) for r in rows if r.query_id == q)
-        score = x @ x[q]
-        want = [i for i in np.lexsort((np.arange(300), -score)) if i != q][:20]
-        assert [r for r, *_ in got] == list(range(1, 21)) and all(abs(s - score[i]) < 1e-9 for _, i, s in got)
-        lost += len(set(want) - {i for _, i, _ in got})
+        got = sorted((r["rank"], r.vec_id, r.score) for r in rows if r.query_id == q)
+        want = exact(x, np.arange(300), q)
+        assert [r for r, *_ in got] == list(range(1, 21)) and all(abs(s - x[i] @ x[q]) < 1e-9 for _, i, s in got)
+        lost += len({i for i, _ in want} - {i for _, i, _ in got})
     assert lost <= 0.1 * 15 * 20
     assert {r.query_id for r in rows} == set(range(0, 300, 20))
-    exact = ann.search(spark.read.parquet(f"{d}/embeddings.parquet"), least=10**6).collect()
-    assert [r.vec_id for r in sorted(exact, key=lambda r: r.rank) if r.query_id == 0] == [i for i in np.lexsort((np.arange(300), -(x @ x[0]))) if i != 0][:20]
+    whole = ann.search(spark.read.parquet(f"{d}/embeddings.parquet"), share=1.0).collect()
+    for q in range(0, 300, 20):
+        assert [r.vec_id for r in sorted(whole, key=lambda r: r["rank"]) if r.query_id == q] == [i for i, _ in exact(x, np.arange(300), q)]
+
+
+def test_search_keeps_repeated_ids_other_lengths_and_opposite_vectors(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((41, 8)).astype(np.float32).astype(float)
+    x[:20] = -np.abs(x[:20])
+    ids = np.r_[np.arange(38), 0, 0, 20]
+    x[39] = x[38]
+    more = [(40, [1.0, 2.0], 1, "x"), (41, [2.0, 1.0], 1, "x"), (60, [3.0], 1, "x")]
+    spark.createDataFrame([(int(i), [float(v) for v in r], 1, "x") for i, r in zip(ids, x)] + more, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = ann.op7_ann(spark, str(tmp_path)).collect()
+    want = sorted((int(ids[q]), k + 1, round(s, 9)) for q in np.flatnonzero(ids % 20 == 0) for k, (_, s) in enumerate(exact(x, ids, q)))
+    assert sorted((r.query_id, r["rank"], round(r.score, 9)) for r in rows if r.query_id != 40) != [] and len(rows) == len(want) + 1
+    assert [(r["rank"], r.vec_id, r.score) for r in rows if r.query_id == 40] == [(1, 41, 4.0)]
+    assert {(r.query_id, r.vec_id) for r in rows} >= {(0, 0)} and 60 not in {r.query_id for r in rows}
+    found = sorted((r.query_id, r["rank"], round(r.score, 9)) for r in rows if r.query_id != 40)
+    assert len(set(found) & set(want)) >= 0.9 * len(set(want))
 
 
 def test_few_and_no_vectors(spark, tmp_path):
