@@ -1,7 +1,7 @@
 """Approximate nearest neighbours (largest inner product) by a permutation index.
 
 Every vector is represented by its ``prefix`` nearest pivots in order of nearness, and posted, with the position, in the
-inverted file of each of these pivots. A query reads the files of its own nearest pivots and sums up the footrule
+inverted file of each of these pivots (at most 255). A query reads the files of its own nearest pivots and sums up the footrule
 distance of the two orders (a pivot outside a prefix counts as next after it). The ``share`` of the rows of least
 footrule, with all ties and all rows whose order agrees by half with the query's (so a crowd of near copies, however
 large, is never cut off), is ranked again by the exact inner product in double precision. To make nearness of directions
@@ -59,22 +59,22 @@ def apart(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Block:
-    """The inverted files of some rows."""
+    """The inverted files of some rows: a file has one byte for each row, the pivot's place in its order, or ``prefix``."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, rows_of: np.ndarray, pivots: np.ndarray, longest: float, prefix: int) -> None:
-        self.x, self.ids, self.rows_of = x, ids, rows_of
-        own = orders(lifted(x, longest), pivots, prefix)
-        post = np.argsort(own.ravel(), kind="stable")
-        self.rows, self.places = (post // prefix).astype(np.int32), (post % prefix).astype(np.int32)
-        self.files = np.r_[0, np.cumsum(np.bincount(own.ravel(), minlength=len(pivots)))]
-        self.prefix = prefix
+        self.x, self.ids, self.rows_of, self.prefix = x, ids, rows_of, prefix
+        self.files = np.full((len(pivots), len(x)), prefix, np.uint8)
+        for at in range(0, len(x), 4096):
+            own = orders(lifted(x[at : at + 4096], longest), pivots, prefix)
+            self.files[own, at + np.arange(len(own))[:, None]] = np.arange(prefix, dtype=np.uint8)
 
     def closeness(self, order: np.ndarray) -> np.ndarray:
         """For each row how far its footrule distance falls below that of orders without a common pivot, halved."""
-        parts = [slice(self.files[p], self.files[p + 1]) for p in order]
-        rows = np.concatenate([self.rows[s] for s in parts])
-        gain = np.concatenate([self.prefix - np.maximum(j, self.places[s]) for j, s in enumerate(parts)])
-        return np.bincount(rows, gain, len(self.ids))
+        total = np.zeros(len(self.ids), np.uint16)
+        far = np.empty(len(self.ids), np.uint8)
+        for place, pivot in enumerate(order.tolist()):
+            total += np.maximum(self.files[pivot], place, out=far, dtype=np.uint8)
+        return self.prefix * self.prefix - total.astype(np.int64)
 
     def candidates(self, order: np.ndarray, k: int, share: float) -> np.ndarray:
         """Numbers of the rows to rank again; all rows where fewer than ``k`` have a pivot in common with the query."""
@@ -105,7 +105,7 @@ def _search_length(
     sample = np.array([r["x"] for r in src.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id", "x").limit(SAMPLE).collect()], np.float64).reshape(-1, dim)
     chosen = apart(lifted(sample, longest), pivots)
     fitted = src.sparkSession.sparkContext.broadcast((chosen, longest))
-    prefix = min(prefix, len(chosen))
+    prefix = min(prefix, len(chosen), 255)
     nb, nq = min(n, max(LEAST_BLOCKS, -(-n // rows_block))), max(1, -(-queries // queries_block))
     spread = lambda seed, of: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
