@@ -1,30 +1,36 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source's documents are shuffled by a hash; a document's copy has as virtual finish time the words its source has
-sent up to and including it, divided by the source's target. Copies of all sources are put in ranges of that time,
-and the ranges are taken in order until the total budget is spent; inside the range where it runs out, finer ranges
-and at last single copies decide. A source's pass repeats up to three times, so no document is taken more often.
-
-The words sent so far are summed by (source, hash bin), so a source with most rows is spread over all tasks; the cut is
-found from a fixed number of range totals, and which copies a row gives follows from the cut alone, without a join.
-
-Edge cases: a null text has size 0 and is never taken; a null source is a source of its own, last in the order; rows
-that share doc_id are told apart by their size, and equal rows are interchangeable; an empty table gives no rows; a
-source of size 0 has target 0. The table of sources (one row each) must fit the driver.
+sent up to and including it, divided by the source's target (in whole words). The queue of all sources in that order is
+cut where the total budget is spent. As the targets share out the budget, its last word is sent at time 1 (each source has
+then sent its target), so the cut needs no search: a copy that finishes by then is in the mix, and of the one copy of each
+source that is being sent at that time the first words are. A source's pass repeats up to three times, so no document is
+taken more often. ``queue`` gives the mix in range-sorted order of virtual time; ``mix`` leaves it in no order.
+
+Equal rows are counted first, and words sent so far are summed by (source, hash bin): a source or a group of copies that
+holds most rows is spread over all tasks. Texts are not shuffled: which copies a row gives follows from its hash and one
+row for each source.
+
+Edge cases: a null text has size 0 and is never taken; a null source is a source of its own, last in the order; rows with
+null or shared doc_id are told apart by all their columns, and equal rows are interchangeable; an empty table gives no
+rows; a source of size 0 has target 0. The table of sources (one row each) must fit the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from math import floor
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import KEY, checkpointed, row_key, running_sum, table
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-WORD = r"[^\x20\x09-\x0D]+"
-#: Hash bins of a source, and ranges of virtual time below 1.
-BINS = 4096
+SPACE = r"\x20\x09-\x0D"
+WORD = f"[^{SPACE}]+"
+#: Hash bins of a source: bits.
+BITS = 16
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None) -> list[float]:
@@ -46,95 +52,104 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
     return out
 
 
-def _range(v: Column) -> Column:
-    """Number of the range of a virtual time: even ranges below 2, then ever wider ones, so that their number is bounded."""
-    wide = (2 * BINS + F.floor(F.log2(v) * 64)).cast("int")
-    return F.when(v < 2, F.floor(v * BINS).cast("int")).otherwise(wide)
+def whole(goals: list[float], sizes: list[tuple[str | None, int]], repeats: int = REPEATS) -> list[int]:
+    """``goals`` in whole words, of which as many are rounded up as keep the sum (largest part first)."""
+    out = [floor(g) for g in goals]
+    short = round(sum(goals)) - sum(out)
+    for i in sorted(range(len(goals)), key=lambda i: (out[i] - goals[i], i))[:short]:
+        out[i] = min(out[i] + 1, repeats * sizes[i][1])
+    return out
+
+
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _order(at: str = "") -> list[Column]:
+    """The shuffled order of a source's rows: that of the hash as an unsigned number, then of the whole key."""
+    return [F.shiftrightunsigned(F.col(at + KEY[0]), 1), *(F.col(at + k) for k in KEY)]
+
+
+def _part(e: Column) -> Column:
+    """Words of the copy of pass ``e`` that are sent before the source's goal is reached."""
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - (e * F.col("source_size") + F.col("sent") - F.col("size")))).cast("long")
+
 
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, goal, sent, finish, taken, nth) of every row, with its key.
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None, seed: int = 7, keyed: bool = False) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every row, and the row's key if ``keyed``."""
+    goal is the target in whole words, sent the source's words up to and including the row's, finish the virtual time
+    then, taken the number of the row's words in the mix; nth numbers equal rows.
+    """
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *(row_key(docs) if keyed else [])))
-    sizes = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"), *row_key(docs))
+    rows = checkpointed(rows.groupBy("doc_id", "source", "size", *KEY).agg(F.count("*").alias("equal")))
+    sizes = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")).alias("n")).collect()]
     sizes.sort(key=lambda x: (x[0] is None, x[0] or ""))
     goals = targets(sizes, weights, repeats, budget)
-    shares = [(i, s, n, t) for i, ((s, n), t) in enumerate(zip(sizes, goals))]
-    shares = spark.createDataFrame(shares, "sid int, source string, source_size long, target double")
-    hashed = F.xxhash64("doc_id", F.lit(seed))
-    rows = rows.alias("l").join(shares.alias("r"), F.expr("l.source <=> r.source")).select("l.*", "r.sid", "r.source_size", "r.target")
-    rows = rows.withColumn("h", hashed).withColumn("bin", F.shiftrightunsigned("h", 64 - BINS.bit_length() + 1).cast("int"))
-    # Order of the unsigned hash; shifting one place keeps it in a signed column.
-    rows = rows.withColumn("h", F.shiftrightunsigned("h", 1))
-    keys = KEY if keyed else ()
-    order = [F.col(c) for c in ("h", "doc_id", "size", *keys)]
-    rows = checkpointed(running_sum(rows, ["sid"], "bin", order, F.col("size"), "sent").drop("h", "bin"))
-    cut = _cut(rows, repeats, float(sum(n for _, n in sizes)) if budget is None else float(budget))
-    copies = sum((F.when(_before_cut(rows, e, cut), 1).otherwise(0) for e in range(repeats)), F.lit(0)) if cut else F.lit(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *keys)
-
-
-def _finish(e: int | Column) -> Column:
-    return (F.lit(e) * F.col("source_size") + F.col("sent")) / F.col("target")
-
-
-def _before_cut(rows: DataFrame, e: int, cut: tuple) -> Column:
-    v, last = _finish(e), cut
-    same = (F.col("sid") < last[1]) | ((F.col("sid") == last[1]) & (F.lit(e) * F.col("source_size") + F.col("sent") <= last[2]))
-    return (F.col("size") > 0) & (F.col("target") > 0) & ((v < last[0]) | ((v == last[0]) & same))
-
-
-def _cut(rows: DataFrame, repeats: int, budget: float) -> tuple | None:
-    """(virtual time, source number, words its source has sent) of the last copy taken; None if none is."""
-    sent = F.col("e") * F.col("source_size") + F.col("sent")
-    copies = rows.filter("size > 0 AND target > 0").withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    copies = copies.select("sid", "size", sent.alias("sent"), (sent / F.col("target")).alias("v")).withColumn("r", _range(F.col("v")))
-    left = budget
-    # First the ranges, then finer ranges inside the one where the budget runs out.
-    for finer in (False, True):
-        if finer:
-            low, high = copies.agg(F.min("v"), F.max("v")).first()
-            if low is None:
-                return None
-            step = F.floor((F.col("v") - low) / ((high - low) or 1.0) * BINS).cast("int")
-            copies = copies.withColumn("r", step)
-        totals = sorted((x["r"], x["n"]) for x in copies.groupBy("r").agg(F.sum("size").alias("n")).collect())
-        if not totals:
-            return None
-        at = totals[-1][0]
-        for r, n in totals:
-            if n > left:
-                at = r
-                break
-            left -= n
-        else:
-            left += totals[-1][1]
-        copies = copies.filter(F.col("r") == at)
-    w = Window.orderBy("v", "sid", "sent").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("size").over(w), F.lit(0))
-    found = copies.withColumn("before", before)
-    # The copy at which the budget runs out is taken if that comes nearer to it.
-    last = found.filter(F.col("before") + F.col("size") / 2 <= left).agg(F.max(F.struct("v", "sid", "sent")).alias("x")).first()["x"]
-    if last is None:
-        first = found.agg(F.min(F.struct("v", "sid", "sent")).alias("x")).first()["x"]
-        return None if first is None else (first["v"], first["sid"], first["sent"] - 1)
-    return (last["v"], last["sid"], last["sent"])
+    shares = [(i, s, n, t, w) for i, ((s, n), t, w) in enumerate(zip(sizes, goals, whole(goals, sizes, repeats)))]
+    shares = spark.createDataFrame(shares, "sid int, source string, source_size long, target double, goal long")
+    rows = rows.alias("l").join(F.broadcast(shares).alias("r"), F.expr("l.source <=> r.source")).select("l.*", "r.sid", "r.source_size", "r.target", "r.goal")
+    rows = rows.withColumn("bin", F.shiftrightunsigned(KEY[0], 64 - BITS).cast("int"))
+    rows = running_sum(rows, ["sid"], "bin", _order(), F.col("size") * F.col("equal"), "sent")
+    # Equal rows follow one another.
+    nth = F.explode(F.sequence(F.lit(1), F.col("equal").cast("int"))).alias("nth")
+    rows = rows.select("*", nth).withColumn("sent", F.col("sent") - (F.col("equal") - F.col("nth")) * F.col("size"))
+    taken = sum((_part(F.lit(e)) for e in range(repeats)), F.lit(0)).cast("long")
+    finish = F.when(F.col("target") > 0, F.col("sent") / F.col("target"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "goal", "sent", finish.alias("finish"), taken.alias("taken"), "nth", *KEY)
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"([{SPACE}]*{WORD})"), F.lit(1)), F.lit(1), n.cast("int")), "")
+
+
+def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None) -> DataFrame:
+    """(doc_id, source, pass, time, words) of every copy in the mix, range-sorted by its virtual finish time."""
+    found = plan(docs, weights, repeats, budget).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    found = found.withColumn("words", _part(F.col("pass"))).filter("words > 0")
+    time = (F.col("pass") * F.col("source_size") + F.col("sent")) / F.col("target")
+    return found.select("doc_id", "source", "pass", time.alias("time"), "words").orderBy("time", "source", "pass")
+
+
+def _copies(docs: DataFrame, weights: tuple[int, ...], repeats: int, budget: float | None) -> DataFrame:
+    """``docs`` with _words (null: all) for every copy in the mix."""
+    found = plan(docs, weights, repeats, budget).filter("source_size > 0")
+    size, first = F.col("size"), F.col("goal") % F.col("source_size")
+    # One row for each source: its whole passes, and the row in which its last pass ends.
+    at = (size > 0) & (F.col("sent") - size < first) & (first <= F.col("sent"))
+    end = F.struct(*KEY, (first - F.col("sent") + size).alias("rest"), "size", "nth")
+    ends = found.groupBy(F.col("source").alias("_source")).agg(
+        F.floor(F.max(F.col("goal") / F.col("source_size"))).cast("int").alias("_passes"), F.max(F.when(at, end)).alias("_end")
+    )
+    ends = F.broadcast(checkpointed(ends))
+    keyed = docs.select("*", *row_key(docs)).join(ends, F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    earlier = F.lit(False)
+    for x, y in reversed(list(zip(_order(), _order("_end.")))):
+        earlier = (x < y) | ((x == y) & earlier)
+    times = F.col("_passes") + F.when(F.coalesce(earlier, F.lit(False)), 1).otherwise(0)
+    some = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    main = keyed.filter(some & (times > 0)).withColumn("_pass", F.explode(F.sequence(F.lit(1), times))).withColumn("_words", F.lit(None).cast("long"))
+    # Of equal rows in which the pass ends, those before the end are taken whole once more, and one in part.
+    last = keyed.filter(F.expr(" AND ".join(f"{k} = _end.{k}" for k in KEY))).dropDuplicates([*KEY])
+    part = F.col("_end.rest") < F.col("_end.size")
+    last = last.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_end.nth").cast("int"))))
+    last = last.withColumn("_words", F.when(part & (F.col("_pass") == F.col("_end.nth")), F.col("_end.rest")))
+    return main.union(last.select(*main.columns))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, each row for itself; equal rows are interchangeable."""
-    taken = plan(docs, weights, repeats, budget, keyed=True).groupBy(*KEY).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
-    taken = checkpointed(taken.filter("_copies > 0"))
-    keyed = docs.select("*", *row_key(docs))
-    # Of equal rows one is left, and repeated as often as all of them are taken; other rows need no such pass.
-    alone = keyed.join(taken.filter("_rows = 1"), [*KEY])
-    equal = keyed.join(taken.filter("_rows > 1"), [*KEY]).dropDuplicates([*KEY])
-    found = alone.union(equal.select(*alone.columns))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them; where a source's share ends inside a text, the words up to there."""
+    text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(_first_words(F.col("text"), F.col("_words")))
+    out = _copies(docs, weights, repeats, budget).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        cut = F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        out = out.withColumn("n_chars", cut.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, and how many of its words the mix takes."""
     found = plan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.col("finish").alias("virtual_finish"))
