@@ -75,29 +75,47 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+#: A key is hot if it holds more than this part of all rows; so there are at most so many hot keys.
+HOT = 4096
+
+
+def join_hot(rows: DataFrame, totals: DataFrame, key: str | list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``totals``, which has one row for each ``key`` and in ``_n`` how many rows have it; ``_n`` is dropped.
+
+    Rows of hot keys (over ``total`` / HOT of them; ``total`` is the number of rows) stay where they are and meet their
+    key's one row by a broadcast of at most HOT rows; all others are dealt by key.
+    """
+    keys, hot = [key] if isinstance(key, str) else key, F.col("_n") > max(1, total // HOT)
+    heavy, light = F.broadcast(totals.filter(hot).drop("_n")), totals.filter(~hot).drop("_n")
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node that it reaches.
 
     Alternates the large-star and small-star steps until the edges stay as they are; every round is cut off with
-    a checkpoint. No step gathers a node's neighbours in one place: minima are aggregated, then joined back.
+    a checkpoint. A node's neighbours are not gathered in one place: minima are aggregated, then joined back, and nodes
+    with many neighbours by a broadcast.
     """
     e = checkpointed(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     )
-    state = None
+    count, state = e.count(), None
     for _ in range(most_rounds):
+        if not count:
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("_n"))
+        large = join_hot(both, low, "u", 2 * count).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = join_hot(large, low2, "u", count).select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
         e = checkpointed(small.distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        count, state = now[0], now
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

@@ -5,10 +5,12 @@ together name a bucket, in each of ``tables`` tables. Vectors of one label that
 (cosine in double precision). At cosine 0.93, the edge, two vectors share a bucket in some table with probability
 0.993; at 0.96 with 0.9998.
 
-Equal vectors of a label are one node that carries its number. A pair that shares several buckets counts only in the
-first table where it does, which both vectors' signatures tell, so links can be counted without listing pairs. Large
-buckets are dealt in blocks, and pairs of blocks are units of their own; a unit gives one row for each vector with a
-link: its count, and the smallest node that it reaches there.
+Equal vectors of a label are one node that carries its number. First only numbers meet in buckets: a node, and 64 signs of
+other projections of its vector; nodes with another of the bucket at a distance of signs that a near one may have (one
+near pair in some millions has a larger one) stay in it. So most nodes that meet by chance are gone before vectors
+are sent. A pair that shares several buckets counts only in the first table where it does, which both vectors' signatures
+tell, so links can be counted without listing pairs. Large buckets are dealt in blocks, and pairs of blocks are units of
+their own; a unit gives one row for each vector with a link: its count, and the smallest node that it reaches there.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and those with a null label or vec_id,
 link with nothing and stay; vectors of different length are never compared; repeated rows count as vectors of their own.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, local_roots, table
+from .common import checkpointed, connected_components, join_hot, local_roots, table
 from .vectors import unit, usable
 
 COSINE, TABLES, HASHES, WIDTH, BLOCK = 0.93, 32, 12, 2.0, 1024
@@ -40,6 +42,48 @@ def signatures(x: np.ndarray, tables: int, hashes: int, width: float, seed: int
     return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def signs(x: np.ndarray, seed: int = 2) -> np.ndarray:
+    """64 signs of random projections of each row."""
+    a = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], 64))
+    return np.packbits(unit(x) @ a > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def most_signs(cosine: float) -> int:
+    """Signs by which a pair of this cosine differs at most, but for a chance of some 10^-7."""
+    p = float(np.arccos(cosine) / np.pi)
+    return int(np.ceil(64 * p + 5.6 * np.sqrt(64 * p * (1 - p))))
+
+
+def _near(batches, most: int, block: int):
+    """One partition of (key, t, node, signs) to (key, t, node, size): nodes that may have a near one in their bucket."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    order = np.argsort(t.column("key").to_numpy(), kind="stable")
+    key, tt, node, sign = (t.column(c).to_numpy()[order] for c in ("key", "t", "node", "signs"))
+    sign = sign.view(np.uint64)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    stay = (sizes > block)[bucket]  # so large a bucket is passed on whole
+    for at, n in zip(starts[(sizes > 64) & (sizes <= block)], sizes[(sizes > 64) & (sizes <= block)]):
+        own = sign[at : at + n]
+        for i in range(0, n, 256):
+            stay[at + i : at + min(n, i + 256)] = (np.bitwise_count(own[i : i + 256, None] ^ own[None, :]) <= most).sum(axis=1) > 1
+    few = (sizes > 1) & (sizes <= 64)
+    starts, rest = starts[few], sizes[few]
+    for gap in range(1, int(rest.max()) if len(rest) else 1):
+        starts, rest = starts[rest > gap], rest[rest > gap]
+        reps = rest - gap
+        i = np.repeat(starts - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
+        i = i[np.bitwise_count(sign[i] ^ sign[i + gap]) <= most]
+        stay[i] = stay[i + gap] = True
+    size = np.bincount(bucket, stay, len(sizes)).astype(np.int64)[bucket]
+    cols = [key[stay], tt[stay].astype(np.int32), node[stay], size[stay]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "t", "node", "size"])
+
+
 def _pairs(key: np.ndarray):
     """Pairs of rows with equal key (sorted), in pieces."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -106,52 +150,54 @@ def near_duplicates(
     vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, block: int = BLOCK
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
+    ok = usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    same = [F.xxhash64(F.lit(seed), "label", "embedding").alias(name) for seed, name in ((21, "ha"), (22, "hb"))]
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
-    fit = src.filter(usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    node = F.xxhash64("label", "embedding").alias("node")
-    ids = checkpointed(src.select("vec_id", F.when(usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), node).alias("node")))
-    nodes = fit.select("vec_id", "label", "embedding", node).groupBy("node").agg(
+    ids = checkpointed(src.select("vec_id", ok.alias("ok"), *same))
+    nodes = src.filter(ok).select("vec_id", "label", "embedding", *same).groupBy("ha", "hb").agg(
         F.min("vec_id").alias("least_id"), F.count("*").alias("n"), F.first("embedding").alias("embedding"), F.xxhash64(F.first("label")).alias("label")
     )
+    held = ["ha", "hb", "least_id", "n", "label", "embedding"]
 
     def hashed(batches):
         for b in batches:
             dims = np.diff(b.column("embedding").offsets.to_numpy())
             values, sig = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64), [b""] * b.num_rows
-            begin = np.r_[0, np.cumsum(dims)]
+            begin, sign = np.r_[0, np.cumsum(dims)], np.zeros(b.num_rows, np.uint64)
             for dim in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == dim)
-                got = signatures(values[begin[own][:, None] + np.arange(dim)], tables, hashes, width)
-                for k, row in zip(own.tolist(), got):
+                x = values[begin[own][:, None] + np.arange(dim)]
+                sign[own] = signs(x)
+                for k, row in zip(own.tolist(), signatures(x, tables, hashes, width)):
                     sig[k] = row.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("node", "least_id", "n", "label", "embedding")), pa.array(dims.astype(np.int32)), pa.array(sig, pa.binary())],
-                ["node", "least_id", "n", "label", "embedding", "dim", "sig"],
-            )
+            more = [pa.array(dims.astype(np.int32)), pa.array(sig, pa.binary()), pa.array(sign.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*map(b.column, held), *more], [*held, "dim", "sig", "signs"])
 
     kind = src.schema["embedding"].dataType.simpleString()
-    nodes = checkpointed(nodes.mapInArrow(hashed, f"node long, least_id long, n long, label long, embedding {kind}, dim int, sig binary"))
+    nodes = nodes.mapInArrow(hashed, f"ha long, hb long, least_id long, n long, label long, embedding {kind}, dim int, sig binary, signs long")
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring(F.col("sig"), t * 4 + 1, F.lit(4)))).alias("t", "bucket")
-    entries = nodes.select("node", "label", "dim", at).select("node", "t", F.xxhash64("label", "dim", "t", "bucket").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    met = entries.join(sizes, "bucket")
+    entries = nodes.select("node", "signs", "label", "dim", at).select(F.xxhash64("label", "dim", "t", "bucket").alias("key"), F.col("t").cast("byte").alias("t"), "node", "signs")
+    near = lambda it: _near(it, most_signs(cosine), 2 * block)
+    met = entries.repartition("key").mapInArrow(near, "key long, t int, node long, size long")
     blocks = F.ceil(F.col("size") / block).cast("int")
     met = met.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int")
-    met = met.select("node", F.col("t").cast("int").alias("t"), side.alias("side"), F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    units = met.join(nodes.drop("least_id"), "node").repartition("key")
+    met = met.select("node", "t", side.alias("side"), F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    units = met.join(nodes.select("node", "n", "label", "dim", "sig", "embedding"), "node").repartition("key")
     found = checkpointed(units.mapInArrow(lambda it: _verify(it, cosine, tables), "node long, root long, links long"))
     roots = connected_components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "least_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = named.join(least, "root").join(counts, "node", "left")
-    of = of.select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = ids.join(of, "node", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    named = nodes.select("node", "ha", "hb", "least_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
+    named = checkpointed(named)
+    total = named.count()
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("_n"))
+    of = join_hot(named, least, "root", total)
+    of = of.select("ha", "hb", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("n").alias("_n"))
+    linked = join_hot(ids.filter("ok").drop("ok"), of, ["ha", "hb"], ids.count()).select("vec_id", "n_links", "component_id")
+    out = linked.union(ids.filter("NOT ok").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
