@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, checkpointed, connected_components, local_roots, row_key, small_batches, table
+from .common import HOT, KEY, checkpointed, connected_components, join_hot, local_roots, row_key, small_batches, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -130,7 +130,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     for n, (at, width) in enumerate(SEGMENTS):
         segment = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
         variants += [segment.bitwiseAND(F.lit(~(1 << w) & ((1 << width) - 1))).bitwiseOR(F.lit((at + w) << 32)) for w in range(width)]
-    rows = fps.select("fp", F.explode(F.array(*variants)).alias("key")).repartition("key")
+    # Each fingerprint becomes 64 rows, so they are dealt out again before.
+    rows = fps.repartition("fp").select("fp", F.explode(F.array(*variants)).alias("key")).repartition("key")
     found = checkpointed(rows.mapInArrow(lambda it: _edges_of(it, distance, block, False), "key long, a long, b long"))
     edges = found.filter("key = -1").select("a", "b")
     # Signatures with more members than a block: every pair of their blocks is a unit of its own.
@@ -147,29 +148,33 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     )
 
 
-def _least(rows: DataFrame, value: Column, distance: int) -> tuple[DataFrame, DataFrame]:
-    """(fp, root) for every ``fp`` of ``rows``, and (root, least), the least ``value`` of what links reach."""
-    fps = rows.groupBy("fp").agg(F.min(value).alias("least"))
+def _least(rows: DataFrame, value: Column, distance: int) -> tuple[DataFrame, DataFrame, int]:
+    """(fp, root, equal) for every ``fp`` of ``rows``, equal counting its rows; (root, least, _n), the least ``value`` of what links reach; number of fps."""
+    fps = checkpointed(rows.groupBy("fp").agg(F.min(value).alias("least"), F.count("*").alias("equal")))
     roots = connected_components(links(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
     named = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return named.select("fp", "root"), named.groupBy("root").agg(F.min("least").alias("least"))
+    return named.select("fp", "root", "equal"), named.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("_n")), fps.count()
 
 
 def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id that links reach."""
     rows = checkpointed(with_fingerprints(docs))
-    named, least = _least(rows, F.col("doc_id"), distance)
-    of = named.join(least.withColumnRenamed("least", "component_id"), "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    named, least, total = _least(rows, F.col("doc_id"), distance)
+    of = join_hot(named, least.withColumnRenamed("least", "component_id"), "root", total).select("fp", "component_id", F.col("equal").alias("_n"))
+    return join_hot(rows, of, "fp", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row of ``docs`` of each component: that of the smallest doc_id; null is the largest, and of equals the row's key decides."""
     rows = checkpointed(with_fingerprints(docs, keyed=True))
-    _, least = _least(rows, F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *KEY), distance)
-    keep = least.select(*[F.col(f"least.{k}").alias(k) for k in KEY])
-    found = docs.select("*", *row_key(docs)).join(keep, [*KEY], "left_semi")
-    return found.dropDuplicates([*KEY]).select(*docs.columns)
+    _, least, _ = _least(rows, F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *KEY), distance)
+    keep = checkpointed(least.select(*[F.col(f"least.{k}").alias(k) for k in KEY]))
+    # Rows that are equal in great number stay where they are until one of them is left; there are at most HOT such rows.
+    many = F.broadcast(checkpointed(rows.groupBy(*KEY).count().filter(F.col("count") > max(1, rows.count() // HOT)).select(*KEY)))
+    keyed = docs.select("*", *row_key(docs))
+    few = keyed.join(many, [*KEY], "left_anti").join(keep, [*KEY], "left_semi").dropDuplicates([*KEY])
+    hot = keyed.join(F.broadcast(keep.join(many, [*KEY], "left_semi")), [*KEY], "left_semi").dropDuplicates([*KEY])
+    return few.union(hot).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
