@@ -1,6 +1,6 @@
 """Sharding by balanced label propagation: linked documents gather in a shard, and shards stay even in bytes.
 
-Documents are linked through a hub (here: equal texts). Hubs of 2 % of a shard or more are placed first, largest first, each
+Documents are linked through a hub (here: equal texts). Hubs of 2 % of a shard's bytes or documents are placed first, largest first, each
 whole in the emptiest shard, or in as few shards as have room for it. Documents of all other hubs begin in a shard by hash,
 and in each round a hub's counts by shard are joined back to its documents, each of which asks to move to the hub's fullest
 shard. Requests are granted, by a hash, up to the room that a shard has and what leaves it in the same round, so full shards
@@ -9,7 +9,8 @@ share, are dealt whole. Then documents without links, which cut nothing, fill ev
 emptiest, then along a hashed order in two classes of size, so that small ones even out what large ones leave.
 
 The law is ``bytes``: shards' sizes are near equal. Only 8 x 8 sums go to the driver in a round, and the large hubs once.
-Counts and running sums are taken by (shard, hash bin), so no shard and no hub is gathered in one task.
+Counts and running sums are taken by (shard, hash bin), so no shard is gathered in one task; a hub that is not large (at most 0.25 % of
+all rows) may be, and the rows of large ones stay where they are when hubs are joined.
 
 Edge cases: a null text has size 1 (none, plus 1), checksum 0 and no link; empty texts link with each other; rows that
 share doc_id are told apart by size and checksum, and equal rows get different slots; an empty table gives no rows.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, running_sum, table
+from .common import checkpointed, join_hot, running_sum, table
 
 SHARDS, BINS = 8, 4096
 #: Rounds go on while the bytes that are asked to move fall to this part; what is cut then is dealt whole.
@@ -120,9 +121,10 @@ def settle(own: DataFrame, load: list[float], capacity: float) -> DataFrame:
     return own.drop("shard").join(to, "hub").select("hub", "doc_id", "size", "crc", "shard")
 
 
-def gather(linked: DataFrame, load: list[float], capacity: float) -> DataFrame:
-    """``linked`` (hub, doc_id, size, crc) with ``shard``; adds to ``load``, and no shard gets more than about ``capacity``."""
-    hubs = linked.groupBy("hub").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).filter(F.col("n") >= LARGE * capacity)
+def gather(linked: DataFrame, load: list[float], capacity: float, rows: int) -> DataFrame:
+    """``linked`` (hub, doc_id, size, crc), of ``rows`` rows in all, with ``shard``; adds to ``load``, and no shard gets more than about ``capacity``."""
+    hubs = linked.groupBy("hub").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
+    hubs = hubs.filter((F.col("n") >= LARGE * capacity) | (F.col("docs") >= LARGE * rows / len(load)))
     large = [(r["hub"], r["n"], r["docs"]) for r in hubs.collect()]
     if not large:
         return settle(propagate(linked, [capacity - x for x in load]), load, capacity)
@@ -184,12 +186,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
     rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("crc"), F.md5(text.cast("binary")).alias("hub")))
-    total = float(rows.agg(F.sum("size")).first()[0] or 0)
-    capacity = total / shards
-    hubs = rows.filter("hub IS NOT NULL").groupBy("hub").count().filter("count > 1").select("hub")
-    linked, load = checkpointed(rows.join(hubs, "hub", "left_semi").select("hub", "doc_id", "size", "crc")), [0.0] * shards
-    linked = gather(linked, load, capacity)
-    free = rows.join(hubs, "hub", "left_anti").select("doc_id", "size", "crc")
+    total, count = rows.agg(F.sum("size"), F.count("*")).first()
+    capacity, load = float(total or 0) / shards, [0.0] * shards
+    hubs = rows.filter("hub IS NOT NULL").groupBy("hub").agg(F.count("*").alias("_n"), F.lit(True).alias("linked")).filter("_n > 1")
+    tagged = checkpointed(join_hot(rows.filter("hub IS NOT NULL"), hubs, "hub", count, "left").select("hub", "doc_id", "size", "crc", "linked"))
+    linked = gather(tagged.filter("linked").drop("linked"), load, capacity, count)
+    free = tagged.filter("linked IS NULL").select("doc_id", "size", "crc").union(rows.filter("hub IS NULL").select("doc_id", "size", "crc"))
     placed = linked.select("doc_id", "size", "crc", "shard").union(fill(free, load, capacity))
     h = _hash(3, "doc_id", "crc")
     placed = checkpointed(placed.withColumn("h", h).withColumn("bin", _bin(h)))
