@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.session import checkpointed, shared_folder  # noqa: F401
+from ..sources.session import checkpointed, remove_path, shared_folder  # noqa: F401
 
 #: What Spark takes for the limit where none is set.
 ARROW_DEFAULT = "67108864b"

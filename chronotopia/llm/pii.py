@@ -7,6 +7,8 @@ and validity stay. The permutation is a ten-round Feistel network over the rank
 falls in the domain; the pseudonym is the value whose permuted rank is the next one, so no value stands for itself.
 Equal values get equal pseudonyms in all documents, different values different ones, and the key's holder can undo it.
 
+Work is linear in the text. A local part is permuted in pieces of 64 characters (mail standards allow no more).
+
 Edge cases: null texts stay null, empty ones empty; texts are read whole; rows are independent, so repeated rows and
 ties need no rule; all other columns pass through as they are, whatever their names.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -183,10 +186,28 @@ def _iban(m: re.Match, f: Map) -> str | None:
     return "".join(c if c == " " else next(own) for c in m[0])
 
 
+#: Other characters of a local part, and how many characters of it are permuted together.
+SIGNS, PIECE = "._%+-", 64
+
+
 def _mail(m: re.Match, f: Map) -> str | None:
-    shape = re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", m[1])))
-    x, n = _rank_mixed(m[1])
-    return None if n < 2 else _write_mixed(m[1], f("mail" + shape, x, n)) + m[0][len(m[1]) :]
+    out = []
+    for at in range(0, len(m[1]), PIECE):
+        own = m[1][at : at + PIECE]
+        shape = re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", own)))
+        x, n = _rank_mixed(own)
+        if n > 1:
+            out.append(_write_mixed(own, f(f"mail{at}.{shape}", x, n)))
+            continue
+        x, n = 0, len(SIGNS) ** len(own)  # nothing but signs, so these are permuted
+        for c in own:
+            x = x * len(SIGNS) + SIGNS.index(c)
+        x, new = f(f"mail{at}.signs", x, n), []
+        for _ in own:
+            x, v = divmod(x, len(SIGNS))
+            new.append(SIGNS[v])
+        out.append("".join(reversed(new)))
+    return "".join(out) + m[0][len(m[1]) :]
 
 
 @dataclass(frozen=True)
@@ -199,7 +220,7 @@ class Kind:
 KINDS = tuple(
     Kind(name, re.compile(pattern), replace)
     for name, pattern, replace in (
-        ("mail", r"(?<![\w.+-])([A-Za-z0-9._%+-]{1,64})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])", _mail),
+        ("mail", r"(?<![\w.%+-])([A-Za-z0-9._%+-]++)@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+(?![\w-])", _mail),
         ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?!\w)", _iban),
         ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])", _ip),
         ("date", r"(?<![\w./-])(?:(?P<y1>[0-9]{4})(?P<s1>[-/.])(?P<m1>[0-9]{1,2})(?P=s1)(?P<d1>[0-9]{1,2})|(?P<a>[0-9]{1,2})(?P<s2>[-/.])(?P<b>[0-9]{1,2})(?P=s2)(?P<y2>[0-9]{4}))(?!\w|[./-][0-9])", _date),
@@ -227,14 +248,17 @@ class Pseudonyms:
         if not text or not _any.search(text):
             return text, []
         found: list[tuple[int, int, str, str]] = []
+        taken = bytearray(len(text))  # 1 where something is replaced
         for kind in self.kinds:
             if kind.name == "mail" and "@" not in text:
                 continue
             for m in kind.pattern.finditer(text):
-                if all(m.end() <= a or m.start() >= z for a, z, *_ in found):
+                a, z = m.span()
+                if taken.find(1, a, z) < 0:
                     new = kind.replace(m, self.rank)
                     if new is not None:
-                        found.append((m.start(), m.end(), kind.name, new))
+                        found.append((a, z, kind.name, new))
+                        taken[a:z] = b"\1" * (z - a)
         found.sort()
         out, at = [], 0
         for a, z, _, new in found:
@@ -244,11 +268,19 @@ class Pseudonyms:
 
 
 _made: dict[bytes, Pseudonyms] = {}
-#: Only for trying out; whoever publishes pseudonyms must pass a secret key.
-DEMO_KEY = b"chronotopia demonstration key"
+#: The setting that holds the secret key; the key used where it is unset is only for trying out.
+KEY_SETTING, DEMO_KEY = "spark.chronotopia.pii.key", b"chronotopia demonstration key"
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's secret key; without one a demonstration key, with a warning, as its pseudonyms can be undone by anyone."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms under the demonstration key can be undone by anyone", stacklevel=2)
+    return DEMO_KEY if key is None else key.encode()
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, report: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
     """``docs`` with its text replaced (and n_chars, if there, recounted); with ``report`` also ``_pii``, what was found."""
     cols = docs.columns
     at = cols.index("text")
@@ -275,6 +307,6 @@ def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, report: bool = False) -
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and how many of each kind stand in it."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = pseudonymize(docs, report=True)
+    found = pseudonymize(docs, key_of(spark), report=True)
     count = lambda kind: F.size(F.filter("_pii", lambda x: x == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", "text", *(count(k) for k in dict.fromkeys(k.name for k in KINDS)))

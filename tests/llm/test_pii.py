@@ -1,6 +1,7 @@
 import datetime
 import random
 import re
+import time
 
 import pytest
 
@@ -55,3 +56,51 @@ def test_query_on_edge_rows(spark, tmp_path):
     got = M.op6_pii(spark, str(tmp_path)).collect()
     assert len(got) == 4 and sum(r.n_mail for r in got) == 2 and "x@y.org" not in [r.text for r in got]
     assert sum(r.text is None for r in got) == 1
+
+
+def test_addresses_of_signs_and_of_any_length():
+    for local in ("_", ".-%", "a" * 200, "x" * 63 + "." + "_" * 90, "A1%b"):
+        text = f"to {local}@x.org and {local}@x.org"
+        new, spans = OWN.replace(text)
+        own = re.fullmatch(r"to ([A-Za-z0-9._%+-]+)@x\.org and \1@x\.org", new)
+        assert len(spans) == 2 and own[1] != local and len(own[1]) == len(local)
+    assert len({OWN.replace(f"{a}@x.org")[0] for a in "._%+-"}) == 5
+
+
+def by_hand(text):
+    """Spans by the plain rule: kind after kind, what meets no span before it and is valid."""
+    found = []
+    for kind in M.KINDS:
+        for m in kind.pattern.finditer(text):
+            if all(m.end() <= a or m.start() >= z for a, z, _ in found) and kind.replace(m, lambda name, x, n: x) is not None:
+                found.append((m.start(), m.end(), kind.name))
+    return sorted(found)
+
+
+def test_spans_are_as_by_hand_and_the_key_undoes_all():
+    rng = random.Random(4)
+    parts = ["on.19@mail5.example.com", "+1 (771) 555-1655", "4337166598464399", "8.196.197.208", "2001-02-28", "31.12.1999", "078-05-1120", "GB82 WEST 1234 5698 7654 32", "1.2.3", "@", "a@b", "12/25/2020", "_@x.org", "no word", "é"]
+    back = M.Pseudonyms(b"k")
+    back.rank = lambda name, x, n: back.network(name, n).decrypt(x)
+    for _ in range(200):
+        text = rng.choice([" ", ", ", "\n"]).join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        new, spans = OWN.replace(text)
+        assert spans == by_hand(text)
+        assert back.replace(new)[0] == text
+
+
+def test_a_long_text_of_addresses_takes_linear_time():
+    text = " ".join(f"u{i}@x{i % 7}.org" for i in range(60_000))
+    began = time.time()
+    new, spans = OWN.replace(text)
+    assert len(text) > 800_000 and len(spans) == 60_000 and len(set(new.split())) == 60_000 and time.time() - began < 60
+
+
+def test_empty_table_and_key(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert M.op6_pii(spark, str(tmp_path)).collect() == []
+    df = spark.createDataFrame([(1, "x@y.org")], "doc_id long, text string")
+    one, two = (M.pseudonymize(df, k).first().text for k in (b"a", b"bc"))
+    assert one.endswith("@y.org") and two.endswith("@y.org") and "x@y.org" not in (one, two)
+    with pytest.warns(UserWarning):
+        assert M.key_of(spark) == M.DEMO_KEY
