@@ -3,7 +3,8 @@
 A stage takes (spark, docs, sf_dir), is written as Parquet and reread as the next one's ``docs``; all but the last
 return the columns of documents. Rows are told apart by all their columns, so a doc_id may be null or shared. What a
 stage drops is its decision: texts whose language is rejected, near-duplicates but the one with the smallest doc_id of
-each group, and documents that the mix does not take. The mix repeats rows of sources that are to weigh more.
+each group, and documents that the mix does not take. The mix repeats rows of sources that are to weigh more, and of the
+one copy of each source in which its share of the words ends only the first words are kept.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotopia.llm import bpe, langid, mixing, pii, simhash
-from chronotopia.llm.common import shared_folder, table
+from chronotopia.llm.common import remove_path, shared_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced."""
-    return pii.pseudonymize(docs)
+    return pii.pseudonymize(docs, pii.key_of(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared folder."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what lies between them is written to the shared folder.
+
+    A stage's table goes when the next one is written; the last, which the rows returned are made from, stays.
+    """
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(path := f"{folder}/{k}-{name}")
             docs = spark.read.parquet(path)
+            if before is not None:
+                remove_path(spark, before)
+            before = path
     return docs
