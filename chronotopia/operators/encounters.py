@@ -1,13 +1,18 @@
 """The flagship: characters of different books in the same place at the same time.
 
 Plans: with a place level, its equality is a hash-join key; with a time granularity, points are put in buckets of years
-and the bucket is a key too, so no nested loop is planned; with neither, counts follow from each book's number of points
-and no join is made. Text is attached only after the predicate.
+and the bucket is a key too, so no nested loop is planned. Counting lists no pairs: it takes sums over years and is linear
+in the distinct points, at any granularity. Groups join points that are alike only once, with their number, and text is
+attached to the groups. Listing all pairs without any restriction is a nested loop by its nature; a random encounter
+without restriction draws pairs by number instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import random
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import UNIT, check_granularity, location_condition, time_condition, unit_of
@@ -30,14 +35,16 @@ def _bucketed(points: DataFrame, time: str) -> DataFrame:
     return known.withColumn("bucket", F.explode(F.sequence(F.least("first", "last"), F.greatest("first", "last"))))
 
 
-def _joined(points: DataFrame, time: str, location: str) -> DataFrame:
+def _joined(points: DataFrame, time: str, location: str, other: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of points, a of ``points`` and b of ``other`` (by default the same)."""
     check_granularity(time, location)
+    other = points if other is None else other
     cond = (F.col("a.book_id") < F.col("b.book_id")) & location_condition(location) & time_condition(time)
     if time in UNIT:
-        points = _bucketed(points, time)
+        points, other = _bucketed(points, time), _bucketed(other, time)
         # Two ranges share several buckets; they meet in the first of them.
         cond = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.bucket") == F.greatest("a.first", "b.first")) & cond
-    return points.alias("a").join(points.alias("b"), cond)
+    return points.alias("a").join(other.alias("b"), cond)
 
 
 def pairs(points: DataFrame, time: str = "year", location: str = "city", country: str | None = None) -> DataFrame:
@@ -47,63 +54,187 @@ def pairs(points: DataFrame, time: str = "year", location: str = "city", country
     return _joined(own, time, location).select(*both)
 
 
+def _wild(time: str, location: str) -> list[str]:
+    """Columns in which an unknown value agrees with anything."""
+    levels = list(LOCATION_LEVELS[: LOCATION_LEVELS.index(location)]) if location != "none" else []
+    return levels + {"month": ["time_month"], "day": ["time_month", "time_day"]}.get(time, [])
+
+
+def _meeting(points: DataFrame, wild: list[str], keys: list[str]) -> DataFrame:
+    """``points`` for each set of wild columns that the other side may know, in both roles: points that agree share keys, known and w_*."""
+    own = sum((F.when(F.col(c).isNotNull(), 1 << n).otherwise(0) for n, c in enumerate(wild)), F.lit(0))
+    rows = points.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit((1 << len(wild)) - 1)))).withColumn("second", F.explode(F.array(F.lit(False), F.lit(True))))
+    first, then = F.when(F.col("second"), F.col("_other")).otherwise(F.col("_own")), F.when(F.col("second"), F.col("_own")).otherwise(F.col("_other"))
+    both = F.col("_own").bitwiseAND(F.col("_other"))
+    shared = [F.when(both.bitwiseAND(F.lit(1 << n)) != 0, F.col(c)).alias(f"w_{c}") for n, c in enumerate(wild)]
+    return rows.select(*keys, (first * (1 << len(wild)) + then).alias("known"), *shared, "second", "y_start", "y_end", "m")
+
+
 def pair_count(points: DataFrame, time: str = "year", location: str = "city", country: str | None = None) -> DataFrame:
-    """One row: n, the number of pairs. Equal points of a book are joined once, with their number."""
+    """One row: n, the number of pairs, without listing them.
+
+    Of all ordered pairs of points that agree in place (and month and day) those are taken off in which one ends before the
+    other begins, which prefix sums over the years give; then the same inside each book, which leaves every pair of books
+    twice. Ranges that end before they begin are few at most: pairs in which each ends before the other begins need one.
+    """
     check_granularity(time, location)
-    own = in_country(points, country)
-    if time == location == "none":
-        books = own.groupBy("book_id").agg(F.count("*").alias("n")).filter("book_id IS NOT NULL")
-        both = books.agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        return both.select(F.coalesce(((F.col("all") * F.col("all") - F.col("same")) / 2).cast("long"), F.lit(0)).alias("n"))
-    own = own.filter(F.col(location).isNotNull()) if location != "none" else own
-    # Only what the predicate reads tells points apart.
-    used = ["book_id"]
-    used += list(LOCATION_LEVELS[: LOCATION_LEVELS.index(location) + 1]) if location != "none" else []
-    used += [] if time == "none" else ["y_start", "y_end", *(["time_month"] if time in ("month", "day") else []), *(["time_day"] if time == "day" else [])]
-    few = own.groupBy(*used).agg(F.count("*").alias("m"))
-    found = _joined(few, time, location).agg(F.sum(F.col("a.m") * F.col("b.m")).alias("n"))
-    return found.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    own, place, wild = in_country(points, country).filter("book_id IS NOT NULL"), [] if location == "none" else [location], _wild(time, location)
+    if place:
+        own = own.filter(F.col(location).isNotNull())
+    if time == "none":
+        own = own.withColumn("y_start", F.lit(0)).withColumn("y_end", F.lit(0))
+    else:
+        own = own.filter("y_start IS NOT NULL AND y_end IS NOT NULL")
+        own = own.withColumns({c: unit_of(F.col(c), time) for c in ("y_start", "y_end")})
+    few = own.groupBy("book_id", *place, *wild, "y_start", "y_end").agg(F.count("*").alias("m"))
+    # Once over all books (a null one), once in each.
+    few = few.withColumn("book", F.explode(F.array(F.lit(None).cast(own.schema["book_id"].dataType), F.col("book_id")))).drop("book_id")
+    keys, group = ["book", *place], ["book", *place, "known", *[f"w_{c}" for c in wild]]
+    wide = lambda c: c.cast("decimal(38,0)")
+    rows = _meeting(few, wild, keys)
+    at = F.when(F.col("second"), F.col("y_start")).otherwise(F.col("y_end")).alias("at")
+    years = rows.groupBy(*group, at).agg(F.sum(F.when(~F.col("second"), F.col("m")).otherwise(0)).alias("ends"), F.sum(F.when(F.col("second"), F.col("m")).otherwise(0)).alias("starts"))
+    w = Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("ends").over(w), F.lit(0))
+    sums = years.withColumn("apart", wide(F.col("starts")) * wide(before)).groupBy(*group).agg(F.sum("ends").alias("a"), F.sum("starts").alias("b"), F.sum("apart").alias("apart"))
+    sign = F.when(F.col("book").isNull(), 1).otherwise(-1)
+    total = sums.agg(F.sum(wide(sign) * (wide(F.col("a")) * wide(F.col("b")) - 2 * F.col("apart"))).alias("n"))
+    if time != "none":
+        odd = _meeting(few.filter("y_start > y_end"), wild, keys).filter("second").alias("b")
+        same = reduce(lambda p, q: p & q, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group])
+        both = rows.filter("NOT second").alias("a").join(odd, same & F.expr("a.y_end < b.y_start AND b.y_end < a.y_start"))
+        part = F.when(F.expr("a.y_start > a.y_end"), 1).otherwise(2) * F.when(F.col("a.book").isNull(), 1).otherwise(-1)
+        total = total.union(both.agg(F.sum(wide(part) * wide(F.col("a.m") * F.col("b.m"))).alias("n")))
+    return total.agg((F.coalesce(F.sum("n"), F.lit(0)) / 2).cast("long").alias("n"))
 
 
 SIDE = ("character_name", "book_title", "readable_location", "readable_time", "evidence_quote", "location_type", "country", "region", "city", "transit_to_country", "transit_to_city")
 NAMES = ("character", "book", "location", "time", "evidence", "location_type", "country", "region", "city", "transit_to_country", "transit_to_city")
 
 
-def encounter_groups(found: DataFrame, readable: DataFrame, order: Column | None = None) -> DataFrame:
+def _numbered(readable: DataFrame) -> DataFrame:
+    """(event_id, shown_as): events that show the same place and time have one number."""
+    shown = readable.select("event_id", "readable_location", "readable_time")
+    alike = shown.groupBy("readable_location", "readable_time").agg(F.min("event_id").alias("shown_as"))
+    same = F.col("s.readable_location").eqNullSafe(F.col("n.readable_location")) & F.col("s.readable_time").eqNullSafe(F.col("n.readable_time"))
+    return shown.alias("s").join(alike.alias("n"), same).select("s.event_id", "n.shown_as")
+
+
+def _shown(groups: DataFrame, readable: DataFrame) -> DataFrame:
+    """``groups`` with what is shown of both events."""
+    for s in "ab":
+        groups = groups.join(readable.select(F.col("event_id").alias(f"event_id_{s}"), *[F.col(c).alias(f"{n}_{s}") for c, n in zip(SIDE, NAMES)]), f"event_id_{s}")
+    both = [f"{n}_{s}" for s in "ab" for n in NAMES]
+    return groups.select("character_id_a", "character_id_b", "event_id_a", "event_id_b", *both, "support_count")
+
+
+def encounters(points: DataFrame, readable: DataFrame, time: str = "year", location: str = "city", country: str | None = None) -> DataFrame:
     """Pairs grouped by characters and what is shown of both places and times; support_count counts point pairs.
 
-    The row shown for a group is the one least by ``order`` (a column of the pairs; by default the events' ids). What is
-    shown of an event is numbered first, so pairs are grouped by numbers; texts are attached to the groups only.
+    The row shown for a group is that of the least events. Points of a character that show alike and agree in all that the
+    predicate reads are one unit, joined once, with their number. Two units that alone show what they show make a group
+    by themselves, so their pairs need neither grouping nor a join for their texts; only pairs with another unit do.
     """
-    shown = readable.select("event_id", *SIDE)
-    alike = shown.groupBy("readable_location", "readable_time").agg(F.min("event_id").alias("shown_as"))
-    same = F.col("s.readable_location").eqNullSafe(F.col("n.readable_location")) & F.col("s.readable_time").eqNullSafe(F.col("n.readable_time"))
-    numbers = shown.alias("s").join(alike.alias("n"), same).select("s.event_id", "n.shown_as")
-    pick = F.struct("event_id_a", "event_id_b", "point_role_a", "point_role_b")
-    rows = found.withColumn("r", F.lit(0) if order is None else order)
+    own = in_country(points, country).join(_numbered(readable), "event_id")
+    units = own.groupBy("character_id", "shown_as", *POINT).agg(F.count("*").alias("m"), F.min(F.struct("event_id", "point_role")).alias("least"))
+    units = units.withColumn("alone", F.count("*").over(Window.partitionBy("character_id", "shown_as")) == 1)
+    single, several = units.filter("alone"), units.filter("NOT alone")
+    shown = readable.select(F.col("event_id").alias("_event"), *[F.col(c).alias(f"_{n}") for c, n in zip(SIDE, NAMES)])
+    full = single.join(shown, F.col("least.event_id") == F.col("_event"))
+    texts = [F.col(f"{s}._{n}").alias(f"{n}_{s}") for s in "ab" for n in NAMES]
+    ids = lambda c, *at: [F.col(f"{s}.{c}").alias(f"{at[0] if at else c}_{s}") for s in "ab"]
+    alone = _joined(full, time, location).select(*ids("character_id"), *ids("least.event_id", "event_id"), *texts, (F.col("a.m") * F.col("b.m")).alias("support_count"))
+    part = lambda x, y: _joined(x, time, location, y).select(*ids("character_id"), *ids("shown_as"), *ids("m"), *ids("least.event_id", "event_id"))
+    rest = part(several, units).union(part(single, several))
+    one = F.min(F.struct("event_id_a", "event_id_b")).alias("one")
+    rest = rest.groupBy(*[f"{c}_{s}" for c in ("character_id", "shown_as") for s in "ab"]).agg(F.sum(F.col("m_a") * F.col("m_b")).alias("support_count"), one)
+    rest = _shown(rest.select("character_id_a", "character_id_b", "one.event_id_a", "one.event_id_b", "support_count"), readable)
+    return rest.unionByName(alone)
+
+
+def encounter_groups(found: DataFrame, readable: DataFrame, order: Column) -> DataFrame:
+    """As ``encounters``, of given pairs; the row shown for a group is the one least by ``order``, a column of the pairs."""
+    numbers, rows = _numbered(readable), found.withColumn("r", order)
     for s in "ab":
         rows = rows.join(numbers.toDF(f"event_id_{s}", f"shown_as_{s}"), f"event_id_{s}")
-    one = (F.min(pick) if order is None else F.min_by(pick, F.col("r"))).alias("one")
+    one = F.min_by(F.struct("event_id_a", "event_id_b"), F.struct("r", "event_id_a", "event_id_b")).alias("one")
     groups = rows.groupBy("character_id_a", "character_id_b", "shown_as_a", "shown_as_b").agg(F.count("*").alias("support_count"), one)
-    groups = groups.select("character_id_a", "character_id_b", "one.event_id_a", "one.event_id_b", "support_count")
-    for s in "ab":
-        side = shown.select(F.col("event_id").alias(f"event_id_{s}"), *[F.col(c).alias(f"{n}_{s}") for c, n in zip(SIDE, NAMES)])
-        groups = groups.join(side, f"event_id_{s}")
-    both = [f"{n}_{s}" for s in "ab" for n in NAMES]
-    return groups.select("character_id_a", "character_id_b", "event_id_a", "event_id_b", *both, "support_count")
+    return _shown(groups.select("character_id_a", "character_id_b", "one.event_id_a", "one.event_id_b", "support_count"), readable)
+
+
+PAIR = ("event_id_a", "point_role_a", "event_id_b", "point_role_b")
+
+
+def drawn(seed: int, *cols: str) -> Column:
+    """A number from 0 up to 2^32, drawn by a digest of the columns: the same at every run and in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])), 1, 8), 16, 10).cast("long")
 
 
 def bernoulli_cap(found: DataFrame, count: int, seed: int = 0, cap: int = CANDIDATE_CAP) -> DataFrame:
     """All pairs, or above ``cap`` each with probability cap / count (a sampling operator)."""
-    return found if count <= cap else found.filter(F.rand(seed) < cap / count)
+    return found if count <= cap else found.filter(drawn(seed, *PAIR) < cap / count * 2**32)
+
+
+def drawn_pairs(points: DataFrame, country: str | None = None, seed: int = 0, cap: int = CANDIDATE_CAP) -> DataFrame:
+    """Up to ``cap`` pairs of points of different books without any other restriction, drawn by number (repeated ones once).
+
+    Books are drawn by their number of points, then points by their place in the book; no pair is listed that is not drawn.
+    """
+    own = in_country(points, country).filter("book_id IS NOT NULL")
+    one = own.select(*[F.col(c) for c in ("event_id", "book_id", "character_id", "location_id", "point_role")])
+    w = Window.partitionBy("book_id", "bin").orderBy("event_id", "point_role", "location_id", "character_id")
+    one = one.withColumn("bin", F.pmod(F.xxhash64("event_id"), F.lit(1024)).cast("int"))
+    sizes = one.groupBy("book_id", "bin").agg(F.count("*").alias("n"))
+    upto = sizes.withColumn("past", F.coalesce(F.sum("n").over(Window.orderBy("book_id", "bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    one = one.withColumn("k", F.row_number().over(w)).join(upto, ["book_id", "bin"]).withColumn("place", F.col("past") + F.col("k") - 1).drop("bin", "n", "past", "k")
+    rng = random.Random(seed)
+    # Twice as many as asked for, as those inside one book do not count.
+    draws = sorted({tuple(sorted(rng.sample(range(total), 2))) for _ in range(2 * cap)}) if total > 1 else []
+    draws = points.sparkSession.createDataFrame(draws, "place_a long, place_b long")
+    for s in "ab":
+        side = one.select(*[F.col(c).alias(f"{c}_{s}") for c in one.columns])
+        draws = side.join(F.broadcast(draws), f"place_{s}")
+    out = [f"{c}_{s}" for s in "ab" for c in ("event_id", "book_id", "character_id", "location_id", "point_role")]
+    return draws.filter("book_id_a < book_id_b").select(*out).limit(cap)
 
 
 def random_encounter(points: DataFrame, readable: DataFrame, time: str, location: str, country: str | None = None, seed: int = 0, cap: int = CANDIDATE_CAP) -> DataFrame:
     """One encounter, drawn over groups, so that characters with many events are not preferred; no row if there is none."""
-    found = pairs(points, time, location, country)
-    found = bernoulli_cap(found, pair_count(points, time, location, country).first()["n"], seed, cap)
-    drawn = found.withColumn("draw", F.rand(seed + 1))
-    return encounter_groups(drawn, readable, F.col("draw")).orderBy(F.rand(seed + 2)).limit(1)
+    check_granularity(time, location)
+    count = pair_count(points, time, location, country).first()["n"]
+    if time == location == "none" and count > cap:
+        found = drawn_pairs(points, country, seed, cap)
+    else:
+        found = bernoulli_cap(pairs(points, time, location, country), count, seed, cap)
+    groups = encounter_groups(found, readable, drawn(seed + 1, *PAIR))
+    return groups.orderBy(drawn(seed + 2, "event_id_a", "event_id_b"), "event_id_a", "event_id_b", "character_id_a", "character_id_b").limit(1)
+
+
+def encounter(points: DataFrame, readable: DataFrame, time: str = "year", location: str = "city", country: str | None = None, seed: int = 0, coordinates: DataFrame | None = None) -> DataFrame:
+    """The answer to one request: a random encounter, with lat and lon of both sides from ``coordinates`` (country, region, city, lat, lon).
+
+    A country must be one of ``list_countries``, else ValueError; no row says that nobody met.
+    """
+    check_granularity(time, location)
+    if country is not None and list_countries(points).filter(F.col("country") == country.strip().lower()).isEmpty():
+        raise ValueError(f"unknown country {country!r}")
+    found = random_encounter(points, readable, time, location, country, seed)
+    if coordinates is None:
+        return found
+    for s in "ab":
+        at = {c: place_part(c, s) for c in ("country", "region", "city")}
+        side = coordinates.select(*[F.col(c).alias(f"_{c}") for c in at], F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"))
+        same = reduce(lambda p, q: p & q, [v.eqNullSafe(F.col(f"_{c}")) for c, v in at.items()])
+        found = found.join(side, same, "left").drop(*[f"_{c}" for c in at])
+    return found
+
+
+def place_part(column: str, side: str) -> Column:
+    """Country, region or city by which a side is put on a map: nothing of a fictional place, a journey's destination."""
+    kind = F.col(f"location_type_{side}")
+    end = F.lit(None).cast("string") if column == "region" else F.col(f"transit_to_{column}_{side}")
+    return F.when(kind == "transit", end).when(kind != "fictional", F.col(f"{column}_{side}"))
 
 
 def list_countries(points: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import place_side, readable_location, readable_time, transport_label
 from ..functions.predicates import UNIT
-from ..functions.vocabulary import CONTINENTS, LOCATION_LEVELS
+from ..functions.vocabulary import CANDIDATE_CAP, CONTINENTS, LOCATION_LEVELS
 from ..operators import encounters as E
 from ..operators import points as P
 from ..sources.adapters import duck, view
@@ -79,7 +79,7 @@ _add("api_place_side", lambda s, d: view(s, d, "locations").select("location_id"
 for _t in ("none", "century", "decade", "year", "month", "day"):
     for _l in ("none", *LOCATION_LEVELS):
         _name = f"time_{_t}_loc_{_l}_count"
-        _sql = pairs_sql(_t, _l, "count(*) AS n") if (_t, _l) != ("none", "none") else duck("locations presence", f"SELECT ((sum(n) * sum(n) - sum(n * n)) / 2)::BIGINT AS n FROM (SELECT book_id, count(*) AS n FROM ({MATCH_POINTS}) GROUP BY book_id)")
+        _sql = pairs_sql(_t, _l, "count(*) AS n")
         _add(_name, lambda s, d, t=_t, l=_l: E.pair_count(_points(s, d), t, l), _sql)
 
 _ids = ", ".join(f"{s}.{c} AS {c}_{s}" for s in "ab" for c in ("event_id", "book_id", "character_id", "location_id", "point_role"))
@@ -101,12 +101,12 @@ SELECT character_id_a, character_id_b, event_id_a, event_id_b, {', '.join(f'{n}_
 
 
 def _groups(time, location):
-    return lambda s, d: E.encounter_groups(E.pairs(_points(s, d), time, location), _readable(s, d))
+    return lambda s, d: E.encounters(_points(s, d), _readable(s, d), time, location)
 
 
 _add("encounter_groups", _groups("year", "city"), groups_sql("year", "city"))
 _add("encounter_examples_1", lambda s, d: _groups("year", "city")(s, d).orderBy(F.desc("support_count"), "event_id_a", "event_id_b").limit(25), groups_sql("year", "city") + " ORDER BY support_count DESC, event_id_a, event_id_b LIMIT 25")
-_add("encounter_examples_2", lambda s, d: E.encounter_groups(E.pairs(_points(s, d), "decade", "country", "NATION_3 "), _readable(s, d)).orderBy(F.desc("support_count"), "event_id_a", "event_id_b").limit(25),
+_add("encounter_examples_2", lambda s, d: E.encounters(_points(s, d), _readable(s, d), "decade", "country", "NATION_3 ").orderBy(F.desc("support_count"), "event_id_a", "event_id_b").limit(25),
      groups_sql("decade", "country").replace("FROM pts a JOIN pts b", "FROM (SELECT * FROM pts WHERE country = 'nation_3') a JOIN (SELECT * FROM pts WHERE country = 'nation_3') b") + " ORDER BY support_count DESC, event_id_a, event_id_b LIMIT 25")
 _add("encounter_examples_3", lambda s, d: _groups("month", "neighborhood")(s, d).orderBy(F.desc("support_count"), "event_id_a", "event_id_b").limit(25), groups_sql("month", "neighborhood") + " ORDER BY support_count DESC, event_id_a, event_id_b LIMIT 25")
 _overlap = f""", pts AS ({MATCH_POINTS}), readable AS ({READABLE}) SELECT DISTINCT ra.character_name AS character_a, rb.character_name AS character_b, a.city AS place,
@@ -116,6 +116,26 @@ _add("overlap_years", lambda s, d: E.overlap_years(_points(s, d), _readable(s, d
 _add("sort_limit", lambda s, d: E.overlap_years(_points(s, d), _readable(s, d), "city", 20), duck(ALL, "").rstrip() + _overlap + " ORDER BY overlap_start NULLS LAST, overlap_end NULLS LAST, character_a, character_b, place LIMIT 20")
 _add("same_book_check", lambda s, d: E.same_book_check(E.pairs(_points(s, d), "year", "city"), view(s, d, "books")),
      duck(ALL, "").rstrip() + f", pts AS ({MATCH_POINTS}) SELECT count(*) AS total, count(*) FILTER (WHERE ba.title = bb.title) AS same_book FROM pts a JOIN pts b ON a.book_id < b.book_id AND {time_sql('year')} AND {location_sql('city')} JOIN books ba ON ba.book_id = a.book_id JOIN books bb ON bb.book_id = b.book_id")
-_add("bernoulli_cap", lambda s, d: E.bernoulli_cap(E.pairs(_points(s, d), "year", "city"), E.pair_count(_points(s, d), "year", "city").first()["n"], 1))
-_add("random_encounter", lambda s, d: E.random_encounter(_points(s, d), _readable(s, d), "year", "city", seed=3))
+
+
+def drawn_sql(seed: int, *cols: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(cols)})), 1, 8))::BIGINT"
+
+
+def capped_sql(time: str, location: str, seed: int) -> str:
+    """CTEs up to kept, the pairs that the cap leaves."""
+    found = f"pts AS ({MATCH_POINTS}), found AS (SELECT {_ids} FROM pts a JOIN pts b ON a.book_id < b.book_id AND {time_sql(time)} AND {location_sql(location)})"
+    return f", {found}, kept AS (SELECT * FROM found WHERE {drawn_sql(seed, *E.PAIR)} < CASE WHEN (SELECT count(*) FROM found) <= {CANDIDATE_CAP} THEN 1 ELSE {CANDIDATE_CAP} / (SELECT count(*) FROM found)::DOUBLE END * 4294967296)"
+
+
+_side = lambda s: ", ".join(f"r{s}.{c} AS {n}_{s}" for c, n in zip(E.SIDE, E.NAMES))
+_random = f"""{capped_sql('year', 'city', 3)}, readable AS ({READABLE}),
+  shown AS (SELECT kept.*, {_side('a')}, {_side('b')}, {drawn_sql(4, *E.PAIR)} AS r FROM kept JOIN readable ra ON ra.event_id = event_id_a JOIN readable rb ON rb.event_id = event_id_b),
+  grouped AS (SELECT *, count(*) OVER (PARTITION BY character_id_a, character_id_b, location_a, time_a, location_b, time_b) AS support_count,
+    row_number() OVER (PARTITION BY character_id_a, character_id_b, location_a, time_a, location_b, time_b ORDER BY r, event_id_a, event_id_b) AS rn FROM shown)
+SELECT character_id_a, character_id_b, event_id_a, event_id_b, {', '.join(f'{n}_{s}' for s in 'ab' for n in E.NAMES)}, support_count FROM grouped WHERE rn = 1
+ORDER BY {drawn_sql(5, 'event_id_a', 'event_id_b')}, event_id_a, event_id_b, character_id_a, character_id_b LIMIT 1"""
+_add("bernoulli_cap", lambda s, d: E.bernoulli_cap(E.pairs(_points(s, d), "year", "city"), E.pair_count(_points(s, d), "year", "city").first()["n"], 1),
+     duck(ALL, "").rstrip() + capped_sql("year", "city", 1) + " SELECT * FROM kept")
+_add("random_encounter", lambda s, d: E.random_encounter(_points(s, d), _readable(s, d), "year", "city", seed=3), duck(ALL, "").rstrip() + _random)
 _add("fk_joins", lambda s, d: _readable(s, d).groupBy("book_title").agg(F.count("*").alias("n")), duck(ALL, f"SELECT book_title, count(*) AS n FROM ({READABLE}) GROUP BY book_title"))

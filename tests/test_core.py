@@ -1,11 +1,13 @@
 """Small fixtures for the rules that data from the star schema don't reach."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronotopia.functions.display import readable_location, readable_time
+from chronotopia.functions.vocabulary import LOCATION_GRANULARITIES, TIME_GRANULARITIES
 from chronotopia.operators import cleanup, encounters, fold, people, places, points, ranking, text
 from chronotopia.sources import catalog, models, store
 from chronotopia.streaming.points import append_points
@@ -69,10 +71,35 @@ def test_unknown_granularity(spark, time, location):
 
 
 def test_no_nested_loop_join(spark):
+    """No listing of pairs but the one without any restriction plans a nested loop, and no count does."""
     p = pts(spark, ("a", 1800, 1800, None, None, "x", None, "c", None))
-    for time, location in (("year", "city"), ("day", "none"), ("none", "country")):
-        plan = encounters.pairs(p, time, location)._jdf.queryExecution().executedPlan().toString()
-        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for time in TIME_GRANULARITIES:
+        for location in LOCATION_GRANULARITIES:
+            for df in ([encounters.pairs(p, time, location)] if (time, location) != ("none", "none") else []) + [encounters.pair_count(p, time, location)]:
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_counts_are_as_listing_all_pairs(spark):
+    """Random points with unknowns, half ranges, ranges that end before they begin, and points without a book."""
+    rng = random.Random(3)
+    some = lambda *x: rng.choice([None, *x])
+    rows = []
+    for _ in range(250):
+        y = rng.randint(1795, 1812)
+        z = y + rng.choice([0, 0, 0, 3, -2, -9])
+        rows.append((rng.choice(["a", "b", "c", None]), some(y, y, y), some(z, z, z), some(1, 2), some(1, 2), some("x", "y"), some("r"), some("c", "d"), some("n")))
+    p = pts(spark, *rows).cache()
+    for time, location in (("none", "none"), ("year", "city"), ("year", "none"), ("decade", "region"), ("month", "country"), ("day", "neighborhood"), ("none", "city"), ("day", "none")):
+        assert n(p, time, location) > 0
+    assert n(p, "year", "city", " X ") > 0 and n(p, "year", "city", "q") == 0
+
+
+def test_pairs_drawn_without_restriction(spark):
+    p = pts(spark, *[(rng, 1, 1, None, None, None, None, None, None) for rng in "aabbbccccd" * 12])
+    got = encounters.drawn_pairs(p, seed=1, cap=50).collect()
+    assert len(got) == 50 == len(set(got)) and all(r.book_id_a < r.book_id_b for r in got)
+    assert encounters.drawn_pairs(pts(spark, ("a", 1, 1, None, None, None, None, None, None))).collect() == []
 
 
 def test_continents_are_no_countries(spark):
@@ -110,8 +137,13 @@ def test_support_counts_point_pairs(spark):
     books = spark.createDataFrame([("a", "A"), ("b", "B")], "book_id string, title string")
     chars = spark.createDataFrame([("a", 1, "X"), ("b", 2, "Y")], "book_id string, character_id long, canonical_name string")
     r = points.event_readable(ev, books, chars, locs)
-    got = encounters.encounter_groups(encounters.pairs(p, "year", "country"), r).collect()
-    assert [(g.character_a, g.character_b, g.support_count) for g in got] == [("X", "Y", 2)]
+    for got in (encounters.encounters(p, r, "year", "country"), encounters.encounter_groups(encounters.pairs(p, "year", "country"), r, F.col("event_id_a"))):
+        assert [(g.character_a, g.character_b, g.support_count) for g in got.collect()] == [("X", "Y", 2)]
+    at = spark.createDataFrame([("x", None, None, 1.5, 2.5)], "country string, region string, city string, lat double, lon double")
+    one = encounters.encounter(p, r, "year", "country", "X", coordinates=at).first()
+    assert (one.character_a, one.lat_a, one.lon_b) == ("X", 1.5, 2.5)
+    with pytest.raises(ValueError):
+        encounters.encounter(p, r, "year", "country", "nowhere")
     assert encounters.random_encounter(p, r, "year", "country").count() == 1
     assert encounters.random_encounter(p, r, "year", "city").count() == 0
 
