@@ -20,10 +20,10 @@ def readable_location() -> Column:
     return F.when(F.col("location_type") == "transit", journey).otherwise(place)
 
 
-def readable_time(pad_month: bool = False) -> Column:
+def readable_time(pad_month: bool = True) -> Column:
     """From the time columns of an event. Null where its precision needs a part that is missing or no such day exists.
 
-    ``pad_month`` blank-pads the month's name to nine letters before the year.
+    The month's name is blank-padded to nine letters before the year, unless ``pad_month`` is false.
     """
     y, m, d = F.col("time_year"), F.col("time_month"), F.col("time_day")
     day = lambda d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")

@@ -30,7 +30,9 @@ MATCH_POINTS = f"""SELECT e.event_id, e.book_id, e.character_id, coalesce(time_y
   FROM presence e JOIN ({LOCATION_POINTS}) p ON p.location_id = e.location_id WHERE time_precision IS NOT NULL"""
 PLACE = """CASE WHEN location_type = 'transit' THEN 'travelling from ' || coalesce(transit_from_city, transit_from_country, 'an unknown place') || ' to ' || coalesce(transit_to_city, transit_to_country, 'an unknown place')
   || coalesce(' by ' || replace(transport_mode, '_', ' '), '') ELSE coalesce(nullif(concat_ws(', ', neighborhood, city, region, country), ''), 'an unspecified location') END"""
-TIME = """CASE time_precision WHEN 'day' THEN strftime(make_date(time_year, time_month, time_day), '%d %B %Y') WHEN 'month' THEN strftime(make_date(time_year, time_month, 1), '%B %Y')
+PLAIN_TIME = """CASE time_precision WHEN 'day' THEN strftime(make_date(time_year, time_month, time_day), '%d %B %Y') WHEN 'month' THEN strftime(make_date(time_year, time_month, 1), '%B %Y')
+  WHEN 'year' THEN time_year::VARCHAR WHEN 'year_range' THEN (CASE WHEN time_source = 'book_estimated' THEN 'estimated ' ELSE '' END) || time_year_range_start || '-' || time_year_range_end ELSE 'an unknown time' END"""
+TIME = """CASE time_precision WHEN 'day' THEN strftime(make_date(time_year, time_month, time_day), '%d ') || rpad(strftime(make_date(time_year, time_month, time_day), '%B'), 9, ' ') || strftime(make_date(time_year, time_month, time_day), ' %Y') WHEN 'month' THEN rpad(strftime(make_date(time_year, time_month, 1), '%B'), 9, ' ') || strftime(make_date(time_year, time_month, 1), ' %Y')
   WHEN 'year' THEN time_year::VARCHAR WHEN 'year_range' THEN (CASE WHEN time_source = 'book_estimated' THEN 'estimated ' ELSE '' END) || time_year_range_start || '-' || time_year_range_end ELSE 'an unknown time' END"""
 READABLE = f"""SELECT e.event_id, e.book_id, b.title AS book_title, c.canonical_name AS character_name, {PLACE} AS readable_location, {TIME} AS readable_time, evidence_quote, location_type, country, region, city, transit_to_country, transit_to_city
   FROM presence e JOIN books b ON b.book_id = e.book_id JOIN characters c ON c.book_id = e.book_id AND c.character_id = e.character_id JOIN locations l ON l.location_id = e.location_id"""
@@ -70,6 +72,7 @@ _add("event_match_points", _points, duck("locations presence", MATCH_POINTS))
 _add("event_readable", _readable, duck(ALL, READABLE))
 _add("readable_location", lambda s, d: view(s, d, "locations").select("location_id", readable_location().alias("readable_location")), duck("locations", f"SELECT location_id, {PLACE} AS readable_location FROM locations"))
 _add("readable_time", lambda s, d: view(s, d, "presence").select("event_id", readable_time().alias("readable_time")), duck("presence", f"SELECT event_id, {TIME} AS readable_time FROM presence"))
+_add("readable_time_plain", lambda s, d: view(s, d, "presence").select("event_id", readable_time(False).alias("readable_time")), duck("presence", f"SELECT event_id, {PLAIN_TIME} AS readable_time FROM presence"))
 _add("transport_label", lambda s, d: view(s, d, "locations").filter("transport_mode IS NOT NULL").select("location_id", transport_label(F.col("transport_mode")).alias("label")),
      duck("locations", "SELECT location_id, replace(transport_mode, '_', ' ') AS label FROM locations WHERE transport_mode IS NOT NULL"))
 _add("api_place_side", lambda s, d: view(s, d, "locations").select("location_id", place_side().alias("p")).select("location_id", "p.*"),

@@ -124,8 +124,8 @@ def test_readable_time(spark):
     rows = [("day", 1872, 10, 2, None, None, "stated"), ("day", 1872, 10, None, None, None, "stated"), ("day", 1871, 2, 30, None, None, "stated"), ("month", 1872, 5, None, None, None, "stated"), ("year", 1872, None, None, None, None, "stated"),
             ("year_range", None, None, None, 1870, 1880, "book_estimated"), ("year_range", None, None, None, 1870, None, "stated"), (None, 1, 1, 1, 1, 1, "stated")]
     df = spark.createDataFrame(rows, "time_precision string, time_year int, time_month int, time_day int, time_year_range_start int, time_year_range_end int, time_source string").coalesce(1)
-    assert [r.x for r in df.select(readable_time().alias("x")).collect()] == ["02 October 1872", None, None, "May 1872", "1872", "estimated 1870-1880", None, "an unknown time"]
-    assert df.select(readable_time(True).alias("x")).first().x == "02 October   1872"
+    assert [r.x for r in df.select(readable_time(False).alias("x")).collect()] == ["02 October 1872", None, None, "May 1872", "1872", "estimated 1870-1880", None, "an unknown time"]
+    assert df.select(readable_time().alias("x")).first().x == "02 October   1872"
 
 
 def test_support_counts_point_pairs(spark):
