@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,21 +41,31 @@ def row_key(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *cols).alias(name) for seed, name in zip((17, 18), KEY)]
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], bin_col: str, order: Sequence[Column], value: Column, out: str) -> DataFrame:
+def _and(conds: Sequence[Column]) -> Column:
+    return reduce(lambda p, q: p & q, conds)
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], bin_col: str, order: Sequence[Column], value: Column, out: str, coarse: int = 0) -> DataFrame:
     """``out`` = sum of ``value`` over the rows of the same ``keys`` up to and including this row.
 
     ``bin_col`` is a coarse, order-preserving prefix of ``order``: rows are summed inside (keys, bin) only, and
     the bins' totals are summed over the small aggregate. So a key that holds most rows is still spread over all
-    tasks, and no sum runs over more than one bin of rows.
+    tasks, and no sum runs over more than one bin of rows. With many bins their totals are summed in groups of
+    2^``coarse`` bins first, and then the groups' totals.
     """
     totals = df.groupBy(*keys, bin_col).agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, bin_col)]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    joined = df.alias("l").join(offsets.alias("r"), cond, "left").select("l.*", "r._before")
+    earlier = lambda *by: Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda rows, *by: rows.withColumn("_before", F.coalesce(F.sum("_total").over(earlier(*by)), F.lit(0)))
+    if coarse:
+        totals = totals.withColumn("_group", F.shiftright(bin_col, coarse)).withColumn("_at", F.col(bin_col))
+        groups = sums(totals.groupBy(*keys, "_group").agg(F.sum("_total").alias("_total")).withColumn("_at", F.col("_group")), *keys)
+        same = _and([F.col(f"t.{c}").eqNullSafe(F.col(f"g.{c}")) for c in (*keys, "_group")])
+        inner = sums(totals, *keys, "_group").alias("t").join(groups.alias("g"), same)
+        offsets = inner.select(*[F.col(f"t.{c}") for c in (*keys, bin_col)], (F.col("t._before") + F.col("g._before")).alias("_before"))
+    else:
+        offsets = sums(totals.withColumn("_at", F.col(bin_col)), *keys).drop("_total", "_at")
+    same = _and([F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, bin_col)])
+    joined = df.alias("l").join(offsets.alias("r"), same, "left").select("l.*", "r._before")
     inside = Window.partitionBy(*keys, bin_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, F.sum(value).over(inside) + F.col("_before")).drop("_before")
 

@@ -5,7 +5,7 @@ sent up to and including it, divided by the source's target (in whole words). Th
 cut where the total budget is spent. As the targets share out the budget, its last word is sent at time 1 (each source has
 then sent its target), so the cut needs no search: a copy that finishes by then is in the mix, and of the one copy of each
 source that is being sent at that time the first words are. A source's pass repeats up to three times, so no document is
-taken more often. ``queue`` gives the mix in range-sorted order of virtual time; ``mix`` leaves it in no order.
+taken more often. ``queue`` gives the copies range-sorted by virtual time; ``mix`` gives the texts, in no order.
 
 Equal rows are counted first, and words sent so far are summed by (source, hash bin): a source or a group of copies that
 holds most rows is spread over all tasks. Texts are not shuffled: which copies a row gives follows from its hash and one
@@ -91,7 +91,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REP
     shares = spark.createDataFrame(shares, "sid int, source string, source_size long, target double, goal long")
     rows = rows.alias("l").join(F.broadcast(shares).alias("r"), F.expr("l.source <=> r.source")).select("l.*", "r.sid", "r.source_size", "r.target", "r.goal")
     rows = rows.withColumn("bin", F.shiftrightunsigned(KEY[0], 64 - BITS).cast("int"))
-    rows = running_sum(rows, ["sid"], "bin", _order(), F.col("size") * F.col("equal"), "sent")
+    rows = running_sum(rows, ["sid"], "bin", _order(), F.col("size") * F.col("equal"), "sent", BITS // 2)
     # Equal rows follow one another.
     nth = F.explode(F.sequence(F.lit(1), F.col("equal").cast("int"))).alias("nth")
     rows = rows.select("*", nth).withColumn("sent", F.col("sent") - (F.col("equal") - F.col("nth")) * F.col("size"))
