@@ -29,13 +29,16 @@ def surrogate_ids(rows: DataFrame, column: str, run_id: str) -> DataFrame:
 
 
 def validate(tables: dict[str, DataFrame]) -> None:
-    """Raise unless references are met and journeys have their shape."""
+    """Raise unless references are met (those of flags' members too) and journeys have their shape."""
     checks = {
         "events without character": tables["events"].join(tables["characters"], ["book_id", "character_id"], "left_anti"),
         "events without location": tables["events"].join(tables["locations"], ["book_id", "location_id"], "left_anti"),
         "characters without book": tables["characters"].join(tables["books"], "book_id", "left_anti"),
         "journeys out of shape": transit_shape_violations(tables["locations"]),
     }
+    if "character_duplicate_flags" in tables:
+        named = F.explode(F.array_union("character_ids", F.array("canonical_id"))).alias("character_id")
+        checks["flags with an unknown member"] = tables["character_duplicate_flags"].select("book_id", named).join(tables["characters"], ["book_id", "character_id"], "left_anti")
     for what, rows in checks.items():
         if not rows.isEmpty():
             raise ValueError(what)
