@@ -15,20 +15,25 @@ text of that run. Only anchors whose next 81 bytes occur again need a look:
 4. The windows found, as intervals, meet their documents, which lose the bytes covered.
 
 Nothing is capped, and a match counts only if bytes agree (or 128 bits of hash for whole contexts). The text is shuffled
-once, for steps 3 and 4 together.
+for steps 3 and 4.
+
+``Index`` keeps levels between runs: batches of documents that come later are compared with all that came before.
 
 Edge cases: null and empty texts have nothing to remove; texts shorter than ``length`` neither; overlapping
-occurrences count; repeated rows lose all that they share; rows are told apart by a hash of doc_id and text.
+occurrences count; repeated rows lose all that they share; rows are told apart by 128 bits of
+hash of doc_id and text.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table
+from .common import checkpointed, remove_path, small_batches, table
 
 LENGTH, WINDOW, GRAM = 200, 120, 16
 #: Bytes of text that are hashed together, and contexts in a batch of the index family.
@@ -97,8 +102,14 @@ def _runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return doc[cut], lo[cut], hi[np.r_[cut[1:], len(doc)] - 1]
 
 
-FOUND = "kind int, seed long, context long, key long, lo int, hi int, off int, many boolean"
-_names = ["kind", "seed", "context", "key", "lo", "hi", "off", "many"]
+#: A row's number: 128 bits of hash over doc_id and text, held as an array of two columns.
+KEY = ["key", "key2"]
+FOUND = "kind int, seed long, context long, key long, key2 long, lo int, hi int, off int, many boolean"
+_names = ["kind", "seed", "context", *KEY, "lo", "hi", "off", "many"]
+
+
+def _keys(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in KEY], axis=1)
 
 
 def _record(kind: int, key, lo, hi, seed=None, context=None, off=None, many=None) -> pa.RecordBatch:
@@ -107,7 +118,7 @@ def _record(kind: int, key, lo, hi, seed=None, context=None, off=None, many=None
     num = lambda v, t: pa.array(zero.astype(t) if v is None else v.astype(t))
     as_long = lambda v: pa.array(zero if v is None else v.view(np.int64))
     flag = pa.array(zero.astype(bool) if many is None else many)
-    return pa.RecordBatch.from_arrays([num(np.full(n, kind), np.int32), as_long(seed), as_long(context), pa.array(key), num(lo, np.int32), num(hi, np.int32), num(off, np.int32), flag], _names)
+    return pa.RecordBatch.from_arrays([num(np.full(n, kind), np.int32), as_long(seed), as_long(context), *(pa.array(key[:, i]) for i in (0, 1)), num(lo, np.int32), num(hi, np.int32), num(off, np.int32), flag], _names)
 
 
 def _texts(batch: pa.RecordBatch):
@@ -127,7 +138,7 @@ def _texts(batch: pa.RecordBatch):
 def _collect(batches, length: int):
     """Documents to anchors (kind 0) and intervals settled inside a batch (kind 1)."""
     for b in batches:
-        keys = b.column("key").to_numpy()
+        keys = _keys(b)
         for rows, data, begins, ends in _texts(b):
             if len(data) < length:
                 continue
@@ -166,16 +177,19 @@ def _meet(batches):
     if not len(order):
         return
     seed, context, many = seed[order], context[order], many[order]
-    key, lo, hi, off = (t.column(c).to_numpy()[order] for c in ("key", "lo", "hi", "off"))
+    key, (lo, hi, off) = _keys(t)[order], (t.column(c).to_numpy()[order] for c in ("lo", "hi", "off"))
     new_seed = np.r_[True, seed[1:] != seed[:-1]]
     new = new_seed | np.r_[True, context[1:] != context[:-1]]
     group, family = np.cumsum(new) - 1, np.cumsum(new_seed) - 1
     twice = (np.bincount(group) > 1) | np.bincount(group, many).astype(bool)
     settled = twice[group] & ~many
     if settled.any():
-        by = np.lexsort((lo[settled], key[settled]))
-        k, a, z = _runs(key[settled][by], lo[settled][by], hi[settled][by])
-        yield _record(1, k, a, z)
+        own = key[settled]
+        by = np.lexsort((lo[settled], own[:, 1], own[:, 0]))
+        own = own[by]
+        row = np.r_[0, np.cumsum((own[1:] != own[:-1]).any(axis=1))]
+        k, a, z = _runs(row, lo[settled][by], hi[settled][by])
+        yield _record(1, own[np.searchsorted(row, k)], a, z)
     one = np.flatnonzero(new)
     kinds = np.bincount(family[one])
     lone = np.bincount(family[one], ~twice) > 0
@@ -184,12 +198,32 @@ def _meet(batches):
         yield _record(2, key[one], lo[one], hi[one], seed[one], context[one], off[one], twice[group[one]])
 
 
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as one value each, which compare as the bytes do."""
+    return np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel()
+
+
+def _interleaved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of rows, of ``a`` and then ``b``, both sorted, that bring them in one order without sorting again."""
+    at = np.searchsorted(_words(a), _words(b), side="right") + np.arange(len(b))
+    out = np.full(len(a) + len(b), -1)
+    out[at] = len(a) + np.arange(len(b))
+    out[out < 0] = np.arange(len(a))
+    return out
+
+
 class Level:
-    """Contexts in suffix-array order. right: text from the anchor on; left: reversed text before it."""
+    """Contexts in suffix-array order, and ``by_left``, their order in the prefix array.
+
+    right: text from the anchor on; left: reversed text before it.
+    """
+
+    FIELDS = ("right", "left", "off", "least", "found", "ids")
 
     def __init__(self, right: np.ndarray, left: np.ndarray, off: np.ndarray, least: np.ndarray, found: np.ndarray, ids: np.ndarray) -> None:
-        order = np.argsort(right.view(f"V{right.shape[1]}").ravel(), kind="stable") if len(right) else np.empty(0, np.int64)
+        order = np.argsort(_words(right), kind="stable")
         self.right, self.left, self.off, self.least, self.found, self.ids = (v[order] for v in (right, left, off, least, found, ids))
+        self.by_left = np.argsort(_words(self.left), kind="stable")
 
     @staticmethod
     def _common(rows: np.ndarray) -> np.ndarray:
@@ -203,7 +237,7 @@ class Level:
         if n < 2:
             return
         right = self._common(self.right)
-        by_left = np.argsort(self.left.view(f"V{self.left.shape[1]}").ravel(), kind="stable")
+        by_left = self.by_left
         left = self._common(self.left[by_left])
         in_left = np.empty(n, np.int64)
         for d in range(int(self.off.max()) + 1):
@@ -221,7 +255,14 @@ class Level:
             self.found[at, d] = True
 
     def merge(self, other: Level, length: int) -> Level:
-        both = Level(*(np.concatenate([getattr(self, v), getattr(other, v)]) for v in ("right", "left", "off", "least", "found", "ids")))
+        """Both levels as one, scanned: their sorted arrays are merged, not sorted again."""
+        both, order = Level.__new__(Level), _interleaved(self.right, other.right)
+        for v in self.FIELDS:
+            setattr(both, v, np.concatenate([getattr(self, v), getattr(other, v)])[order])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        lefts = np.concatenate([self.by_left, other.by_left + len(self.ids)])
+        both.by_left = place[lefts[_interleaved(self.left[self.by_left], other.left[other.by_left])]]
         both.scan(length)
         return both
 
@@ -272,7 +313,7 @@ def _index(batches, length: int):
 
     held: list = []
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "off", "many", "text"))):
+        for row in zip(_keys(b), *(b.column(c).to_pylist() for c in ("lo", "off", "many", "text"))):
             held.append(row)
             if len(held) == BATCH:
                 family.add(level(held))
@@ -293,13 +334,46 @@ def _index(batches, length: int):
     yield _record(1, keys_[keep][doc], lo, hi)
 
 
-def find(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(intervals of repeated windows: key, lo, hi), (key, doc_id, data: the text's bytes), the latter dealt by key."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``: their key, doc_id and the text's bytes."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = [F.xxhash64(F.lit(n), "doc_id", text).alias(c) for n, c in enumerate(KEY)]
+    return small_batches(docs).select(*keys, F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("data"))
+
+
+def _first(src: DataFrame, length: int) -> DataFrame:
+    """Anchors of all texts, one of each context of a batch, and the intervals settled inside a batch."""
     if length - WINDOW + 1 < GRAM:
         raise ValueError(f"strings of at least {WINDOW + GRAM - 1} bytes only")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    src = small_batches(docs).select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("data"))
-    first = src.filter(F.octet_length("data") >= length).select("key", "data").mapInArrow(lambda it: _collect(it, length), FOUND)
+    return src.filter(F.octet_length("data") >= length).select(*KEY, "data").mapInArrow(lambda it: _collect(it, length), FOUND)
+
+
+def _contexts(spread: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The bytes of each context ``wanted``, out of its row; ``spread`` is dealt by key."""
+    asked = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("seed", "lo", "hi", "off", "many")).alias("asked"))
+
+    def fetch(batches):
+        for b in batches:
+            out: list[list] = [[], [], [], [], [], [], []]
+            for key, key2, data, asked in zip(b.column("key").to_pylist(), b.column("key2").to_pylist(), b.column("data"), b.column("asked").to_pylist()):
+                data = data.as_py()
+                for x in asked:
+                    for col, v in zip(out, (x["seed"], key, key2, x["lo"], x["off"], x["many"], data[x["lo"] : x["hi"] + length])):
+                        col.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["seed", *KEY, "lo", "off", "many", "text"])
+
+    own = spread.select(*KEY, "data").join(asked, KEY).dropDuplicates(KEY)
+    return own.mapInArrow(fetch, "seed long, key long, key2 long, lo int, off int, many boolean, text binary")
+
+
+def _scan(contexts: DataFrame, length: int) -> DataFrame:
+    """Intervals of the windows that another context has too, each seed's contexts in one index family."""
+    return contexts.repartition("seed").mapInArrow(lambda it: _index(it, length), FOUND).select(*KEY, "lo", "hi")
+
+
+def _inside(first: DataFrame, spread: DataFrame, length: int) -> DataFrame:
+    """Intervals of windows that start elsewhere in the same rows too."""
     # Intervals settled in a batch are spread by their own hash and pass through.
     dealt = first.repartition(F.when(F.col("kind") == 0, F.col("seed")).otherwise(F.xxhash64("key", "lo")))
 
@@ -313,24 +387,14 @@ def find(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
         yield from _meet(held)
 
     found = checkpointed(dealt.mapInArrow(met, FOUND))
-    spread = src.repartition("key")
-    asked = found.filter("kind = 2").groupBy("key").agg(F.collect_list(F.struct("seed", "lo", "hi", "off", "many")).alias("asked"))
+    return found.filter("kind = 1").select(*KEY, "lo", "hi").union(_scan(_contexts(spread, found.filter("kind = 2"), length), length))
 
-    def fetch(batches):
-        for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for key, data, asked in zip(b.column("key").to_pylist(), b.column("data"), b.column("asked").to_pylist()):
-                data = data.as_py()
-                for x in asked:
-                    for col, v in zip(out, (x["seed"], key, x["lo"], x["off"], x["many"], data[x["lo"] : x["hi"] + length])):
-                        col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["seed", "key", "lo", "off", "many", "text"])
 
-    contexts = spread.select("key", "data").join(asked, "key").dropDuplicates(["key"])
-    contexts = contexts.mapInArrow(fetch, "seed long, key long, lo int, off int, many boolean, text binary")
-    more = contexts.repartition("seed").mapInArrow(lambda it: _index(it, length), FOUND)
-    return found.filter("kind = 1").select("key", "lo", "hi").union(more.select("key", "lo", "hi")), spread
+def find(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(intervals of repeated windows: key, key2, lo, hi), (key, key2, doc_id, data: the text's bytes), the latter dealt by key."""
+    src = _rows(docs)
+    spread = src.repartition(*KEY)
+    return _inside(_first(src, length), spread, length), spread
 
 
 def _cover(spans: list, size: int, length: int) -> list[tuple[int, int]]:
@@ -346,8 +410,11 @@ def _cover(spans: list, size: int, length: int) -> list[tuple[int, int]]:
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, spans: array of (start, end) removed, kept: the bytes that remain) of every row."""
-    intervals, spread = find(docs, length)
-    by = intervals.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    return _removed(*find(docs, length), length)
+
+
+def _removed(intervals: DataFrame, spread: DataFrame, length: int) -> DataFrame:
+    by = intervals.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
 
     def run(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -365,7 +432,83 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return spread.join(by, "key", "left").select("doc_id", "data", "found").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return spread.join(by, KEY, "left").select("doc_id", "data", "found").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+class Index:
+    """Stored levels of batches, for batches of documents that come later.
+
+    A level is a folder of two tables: anchors (one of each context), dealt and sorted by seed, and texts. Levels have
+    geometric sizes: ``unit`` * 2^k bytes or more and less than twice that are class k, and no class has two. A new batch is
+    first compared within itself, then its contexts meet those of the levels that share a seed with them in the index
+    family; then it becomes a level, and levels of equal class merge until none is left. The list of levels is the
+    newest complete version in ``manifest``, written last: whoever loses executors, or the driver, adds the batch again.
+    Earlier batches stay as they were returned. One batch is added at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, length: int = LENGTH, unit: int = 1 << 30) -> None:
+        self.spark, self.folder, self.length, self.unit = spark, folder.rstrip("/"), length, unit
+
+    def _versions(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n.getName()) for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
+
+    def levels(self) -> list[tuple[str, int]]:
+        """(folder, bytes of text) of each level: few, as sizes double."""
+        done = self._versions()
+        if not done:
+            return []
+        return [(r.level, r.bytes) for r in self.spark.read.parquet(f"{self.folder}/manifest/{done[-1]}").orderBy("bytes").collect()]
+
+    def _class(self, size: int) -> int:
+        return max(1, size // self.unit).bit_length()
+
+    def _write(self, anchors: DataFrame, texts: DataFrame) -> tuple[str, int]:
+        path = f"{self.folder}/level-{uuid.uuid4().hex}"
+        one = anchors.groupBy("seed", "context").agg(F.min(F.struct(*KEY, "lo", "hi", "off")).alias("x"))
+        one.select("seed", "context", "x.*").repartition("seed").sortWithinPartitions("seed", "context").write.parquet(f"{path}/anchors")
+        texts.write.parquet(f"{path}/texts")
+        return path, self.spark.read.parquet(f"{path}/texts").agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+
+    def _read(self, paths: list[str], name: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{p}/{name}" for p in paths])
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """What ``remove`` returns for ``docs``, strings that start in an earlier batch taken as repeated too."""
+        old, state = self.levels(), self._versions()
+        path = f"{self.folder}/batch-{uuid.uuid4().hex}"
+        _rows(docs).write.parquet(f"{path}/rows")
+        src = self.spark.read.parquet(f"{path}/rows")
+        _first(src, self.length).write.parquet(f"{path}/anchors")
+        first = self.spark.read.parquet(f"{path}/anchors")
+        spread = src.repartition(*KEY)
+        intervals = _inside(first, spread, self.length)
+        own = first.filter("kind = 0")
+        if old:
+            paths = [p for p, _ in old]
+            # Of equal contexts one is enough: those of the batch are settled within it, those of levels take no marks.
+            mine = own.groupBy("seed", "context").agg(F.min(F.struct(*KEY, "lo", "hi", "off", "many")).alias("x")).select("seed", "x.*")
+            theirs = self._read(paths, "anchors").withColumn("many", F.lit(True)).dropDuplicates(["seed", "context"]).drop("context")
+            seeds = mine.select("seed").distinct().join(theirs.select("seed").distinct(), "seed")
+            seeds = checkpointed(seeds)
+            here = _contexts(spread, mine.join(seeds, "seed", "left_semi"), self.length)
+            there = _contexts(self._read(paths, "texts").repartition(*KEY), theirs.join(seeds, "seed", "left_semi"), self.length)
+            intervals = intervals.union(_scan(here.union(there), self.length))
+        _removed(intervals, spread, self.length).write.parquet(f"{path}/removed")
+        made = self._write(own, src.select(*KEY, F.lit(None).cast("long").alias("doc_id"), "data").filter(F.octet_length("data") >= self.length))
+        kept, gone = list(old), [f"{path}/rows", f"{path}/anchors"]
+        while same := [x for x in kept if self._class(x[1]) == self._class(made[1])]:
+            both = [same[0][0], made[0]]
+            made = self._write(self._read(both, "anchors"), self._read(both, "texts"))
+            kept.remove(same[0])
+            gone += both
+        rows = self.spark.createDataFrame([*kept, made], "level string, bytes long")
+        rows.coalesce(1).write.parquet(f"{self.folder}/manifest/{state[-1] + 1 if state else 0}", mode="overwrite")
+        for old_path in gone:
+            remove_path(self.spark, old_path)
+        return self.spark.read.parquet(f"{path}/removed")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

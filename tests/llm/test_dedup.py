@@ -118,6 +118,24 @@ def test_levels_find_what_one_scan_finds():
             assert same == bool(whole.found[list(whole.ids).index(i), d])
 
 
+def test_later_batches_meet_the_levels_of_earlier_ones(spark, tmp_path):
+    rows = [r for r in some_rows(4) if r[0] != 404]
+    parts = [rows[i::5] for i in range(5)]
+    index, before = suffix_dedup.Index(spark, f"{tmp_path}/index", unit=16_000), []
+    for n, part in enumerate(parts):
+        got = index.add(spark.read.parquet(documents(spark, f"{tmp_path}/{n}", part) + "/documents.parquet"))
+        got = sorted((r.doc_id, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got.collect())
+        before += part
+        want = brute_removal([t for _, t in before])[-len(part) :]
+        assert got == sorted((r[0], *w) for r, w in zip(part, want))
+        sizes = [index._class(b) for _, b in index.levels()]
+        assert len(sizes) == len(set(sizes))
+    assert sum(b for _, b in index.levels()) == sum(len((t or "").encode()) for _, t in rows if len((t or "").encode()) >= 200)
+    # An empty batch changes nothing.
+    none = spark.read.parquet(f"{tmp_path}/0/documents.parquet").limit(0)
+    assert index.add(none).collect() == []
+
+
 def test_empty_tables(spark, tmp_path):
     d = documents(spark, tmp_path, [(1, "x")])
     spark.read.parquet(f"{d}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
