@@ -15,7 +15,7 @@ text of that run. Only anchors whose next 81 bytes occur again need a look:
 4. The windows found, as intervals, meet their documents, which lose the bytes covered.
 
 Nothing is capped, and a match counts only if bytes agree (or 128 bits of hash for whole contexts). The text is shuffled
-for steps 3 and 4.
+once, for steps 3 and 4 together (one exchange, reused).
 
 ``Index`` keeps levels between runs: batches of documents that come later are compared with all that came before.
 
@@ -363,7 +363,8 @@ def _contexts(spread: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["seed", *KEY, "lo", "off", "many", "text"])
 
-    own = spread.select(*KEY, "data").join(asked, KEY).dropDuplicates(KEY)
+    # doc_id stays, so that this is the very exchange of texts that the removal reads.
+    own = spread.join(asked, KEY).dropDuplicates(KEY)
     return own.mapInArrow(fetch, "seed long, key long, key2 long, lo int, off int, many boolean, text binary")
 
 

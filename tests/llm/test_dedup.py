@@ -136,6 +136,13 @@ def test_later_batches_meet_the_levels_of_earlier_ones(spark, tmp_path):
     assert index.add(none).collect() == []
 
 
+def test_texts_are_shuffled_once(spark, tmp_path):
+    d = documents(spark, tmp_path, some_rows(5))
+    df = suffix_dedup.op8_suffix_dedup(spark, d)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_tables(spark, tmp_path):
     d = documents(spark, tmp_path, [(1, "x")])
     spark.read.parquet(f"{d}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
