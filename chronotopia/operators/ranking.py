@@ -55,6 +55,13 @@ def usage_summary(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return sums.select("model", "calls", *cols, cost.alias("cost"))
 
 
+def usage_total(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """One row over all models: calls, cost, and in ``equivalent_cost`` what the command line's calls would have cost."""
+    line = usage_summary(calls.filter("cli").withColumn("cli", F.lit(False)), prices).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("equivalent_cost"))
+    own = usage_summary(calls, prices).agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
+    return own.join(F.broadcast(line))  # one row each
+
+
 def run_totals(entries: DataFrame) -> DataFrame:
     """One row over the entries that ran: how many, their time and tokens."""
     return entries.filter("elapsed IS NOT NULL").agg(F.count("*").alias("runs"), F.coalesce(F.sum("elapsed"), F.lit(0.0)).alias("elapsed"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))

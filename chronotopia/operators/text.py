@@ -81,11 +81,14 @@ def drop_toc(novels: DataFrame) -> DataFrame:
 
 def split_chapters(novels: DataFrame) -> DataFrame:
     """(book_id, chapter, title, paragraphs): chapters with text, numbered from 1 in order."""
-    raw = _each(novels, lambda t: [(i, title, body) for i, (title, body) in enumerate(chapters_of(t))], "at int, title string, body string")
-    rows = raw.withColumn("paragraphs", split_paragraphs(F.col("body"))).filter(F.size("paragraphs") > 0)
-    # A novel's chapters are numbered inside it: few rows.
-    packed = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("at", "title", "paragraphs"))).alias("c"))
-    return packed.select("book_id", F.posexplode("c").alias("n", "c")).select("book_id", (F.col("n") + 1).alias("chapter"), "c.title", "c.paragraphs")
+    raw = _each(novels, lambda t: [tuple(zip(*chapters_of(t)))], "title array<string>, body array<string>")
+    # A novel's chapters are numbered inside its row, so nothing is shuffled.
+    parts = F.transform(F.arrays_zip("title", "body"), lambda c: F.struct(c["title"].alias("title"), split_paragraphs(c["body"]).alias("paragraphs")))
+    rows = raw.select("book_id", F.posexplode(F.filter(parts, lambda c: F.size(c["paragraphs"]) > 0)).alias("n", "c"))
+    return rows.select("book_id", (F.col("n") + 1).alias("chapter"), "c.title", "c.paragraphs")
+
+
+_KINDS = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
 
 def _each(novels: DataFrame, f, schema: str) -> DataFrame:
@@ -101,7 +104,7 @@ def _each(novels: DataFrame, f, schema: str) -> DataFrame:
                 ids += [i.as_py()] * len(found)
                 rows += found
             cols = list(zip(*rows)) if rows else [()] * len(names)
-            kinds = [pa.int32() if x.endswith(" int") else pa.string() for x in schema.split(", ")]
+            kinds = [_KINDS[x.split()[1]] for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("book_id").type), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["book_id", *names])
 
     return novels.select("book_id", "text").mapInArrow(run, f"book_id {kind}, {schema}")

@@ -126,7 +126,10 @@ def _answers(s, d):
 _add("normalize_new_characters", lambda s, d: fold.normalize_new_characters(_answers(s, d)).select("book_id", "chapter", "ordinal", "id", "canonical_name", F.size("aliases").alias("n")),
      duck("presence", """SELECT book_id, chapter, o::INT AS ordinal, 'c' || event_id AS id, CASE o WHEN 0 THEN 'c' || event_id ELSE 'N' END AS canonical_name, CASE o WHEN 0 THEN 0 ELSE 2 END AS n FROM presence, (VALUES (0), (1)) t(o) WHERE event_id % 3 = 1"""))
 _add("prompt_state", lambda s, d: fold.prompt_state(view(s, d, "characters").select("book_id", F.col("character_id").alias("id"), "canonical_name", F.array().cast("array<string>").alias("aliases")), view(s, d, "locations").filter("city IS NOT NULL").select("book_id", F.col("location_id").alias("id"), F.col("city").alias("canonical_name")))
-     .select("book_id", F.md5(F.col("state").cast("binary")).alias("digest")))
+     .select("book_id", F.md5(F.col("state").cast("binary")).alias("digest")),
+     duck("characters locations", """SELECT book_id, md5(to_json({'characters': c, 'locations': l})::VARCHAR) AS digest FROM
+  (SELECT book_id, list({'id': character_id, 'canonical_name': canonical_name, 'aliases': []::VARCHAR[]} ORDER BY character_id) AS c FROM characters GROUP BY book_id) FULL JOIN
+  (SELECT book_id, list({'id': location_id, 'canonical_name': city} ORDER BY location_id) AS l FROM locations WHERE city IS NOT NULL GROUP BY book_id) USING (book_id)"""))
 
 
 # Cleanup: presence with its place's columns.
@@ -218,6 +221,8 @@ def _deepest(s, d):
     return view(s, d, "locations").select("location_id", level.alias("level"), value.alias("value"))
 
 
+_add("deepest_index", lambda s, d: view(s, d, "locations").select("location_id", places.deepest_index().alias("n")),
+     duck("locations", "SELECT location_id, CASE WHEN street IS NOT NULL THEN 4 WHEN neighborhood IS NOT NULL THEN 3 WHEN city IS NOT NULL THEN 2 WHEN region IS NOT NULL THEN 1 WHEN country IS NOT NULL THEN 0 ELSE -1 END AS n FROM locations"))
 _add("deepest_level", _deepest, duck("locations", f"SELECT location_id, {_LEVEL} AS level, coalesce(street, neighborhood, city, region, country) AS value FROM locations"))
 
 
@@ -240,15 +245,16 @@ _add("geo_same_place", lambda s, d: places.geo_same_place(_gazetteer(s, d), _key
 _add("geo_accept", lambda s, d: places.geo_accept(_gazetteer(s, d), _keyed).select("level", "value", "rank"), duck(_gz, f"SELECT level, value, rank FROM ({_ACCEPT})"))
 
 
-def _backfill_sql(where="true"):
+def _backfill_sql(where="true", put="coalesce({v}, l.{c})"):
     above = {"country": "AND _level <> 'country'", "region": "AND _level NOT IN ('country', 'region')", "city": "AND _level NOT IN ('country', 'region', 'city')"}
     fill = {c: f"CASE WHEN location_type = 'real' {a} THEN g.place_{c} END" for c, a in above.items()}
-    return f"""SELECT location_id, {', '.join(f'coalesce({v}, l.{c}) AS {c}' for c, v in fill.items())}, CASE WHEN location_type <> 'real' OR _level IS NULL THEN 'skipped' WHEN coalesce({', '.join(fill.values())}) IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS geocode_status
+    return f"""SELECT location_id, {', '.join(f'{put.format(v=v, c=c)} AS {c}' for c, v in fill.items())}, CASE WHEN location_type <> 'real' OR _level IS NULL THEN 'skipped' WHEN coalesce({', '.join(fill.values())}) IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS geocode_status
   FROM (SELECT *, {_LEVEL} AS _level, coalesce(street, neighborhood, city, region, country) AS _value FROM locations WHERE {where}) l LEFT JOIN ({_ACCEPT}) g ON g.level = _level AND g.value = _value"""
 
 
 _gcols = ["location_id", "country", "region", "city", "geocode_status"]
 _add("geo_backfill", lambda s, d: places.geo_backfill(view(s, d, "locations"), _gazetteer(s, d)).select(*_gcols), duck(_gz, _backfill_sql()))
+_add("geo_backfill_keep", lambda s, d: places.geo_backfill(view(s, d, "locations"), _gazetteer(s, d), overwrite=False).select(*_gcols), duck(_gz, _backfill_sql(put="coalesce(l.{c}, {v})")))
 _AGAIN = "location_type = 'real' AND geocode_status <> 'resolved'"
 _add("regeocode", lambda s, d: places.regeocode(view(s, d, "locations"), _gazetteer(s, d)).select(*_gcols),
      duck(_gz, f"SELECT location_id, country, region, city, geocode_status FROM locations WHERE NOT ({_AGAIN}) UNION ALL SELECT * FROM ({_backfill_sql(_AGAIN)})"))
@@ -273,6 +279,9 @@ _add("dedup_context", lambda s, d: people.dedup_context(view(s, d, "characters")
   row_number() OVER (PARTITION BY book_id, character_id ORDER BY chapter, narration_order, event_id) AS k FROM presence) WHERE n <= 10 OR k <= 5 OR k > n - 5) e ON e.book_id = c.book_id AND e.character_id = c.character_id GROUP BY c.character_id"""))
 _add("split_groups", lambda s, d: people.split_groups(view(s, d, "dup_groups"))[0].select("book_id", "position"), duck("dup_groups", "SELECT book_id, position FROM dup_groups WHERE confidence = 'certain'"))
 
+_add("split_groups_rest", lambda s, d: people.split_groups(view(s, d, "dup_groups"))[1].select("book_id", "position", "confidence"),
+     duck("dup_groups", "SELECT book_id, position, confidence FROM dup_groups WHERE confidence IS DISTINCT FROM 'certain'"))
+
 
 # Certain groups, and chains: a group's canonical member goes to the next nation's, up to every fourth.
 def _members(s, d):
@@ -329,6 +338,10 @@ _ONE = f"SELECT * FROM ({_FLAGS}) WHERE status = 'pending' ORDER BY flag_id LIMI
 _add("flag_approve", lambda s, d: people.flag_approve(_some_flag(s, d), _flags(s, d), _aliased(s, d), view(s, d, "presence"))[1].select("book_id", "character_id", F.array_join("aliases", "|").alias("aliases")),
      duck(_ft, f"""SELECT c.book_id, c.character_id, array_to_string(CASE WHEN c.character_id = f.canonical_id THEN (SELECT list_sort(list_distinct(list_filter(flatten(list(list_concat([o.canonical_name], o.aliases))), lambda x: x <> c.canonical_name))) FROM ({_ALIASED}) o WHERE o.book_id = f.book_id AND list_contains(f.character_ids, o.character_id)) ELSE c.aliases END, '|') AS aliases
   FROM ({_ALIASED}) c LEFT JOIN ({_ONE}) f ON f.book_id = c.book_id WHERE f.book_id IS NULL OR c.character_id = f.canonical_id OR NOT list_contains(f.character_ids, c.character_id)"""))
+_add("flag_approve_events", lambda s, d: people.flag_approve(_some_flag(s, d), _flags(s, d), _aliased(s, d), view(s, d, "presence"))[2].select("event_id", "character_id"),
+     duck(_ft, f"SELECT e.event_id, CASE WHEN f.book_id IS NOT NULL THEN f.canonical_id ELSE e.character_id END AS character_id FROM presence e LEFT JOIN ({_ONE}) f ON f.book_id = e.book_id AND list_contains(f.character_ids, e.character_id)"))
+_add("flag_approve_flags", lambda s, d: people.flag_approve(_some_flag(s, d), _flags(s, d), _aliased(s, d), view(s, d, "presence"))[0].select("flag_id", "status"),
+     duck(_ft, f"SELECT flag_id, CASE WHEN flag_id = (SELECT flag_id FROM ({_ONE})) THEN 'approved' ELSE status END AS status FROM ({_FLAGS})"))
 _add("flag_reject", lambda s, d: people.flag_reject(_some_flag(s, d), _flags(s, d)).select("flag_id", "status"),
      duck(_ft, f"SELECT flag_id, CASE WHEN flag_id = (SELECT flag_id FROM ({_ONE})) THEN 'rejected' ELSE status END AS status FROM ({_FLAGS})"))
 
@@ -353,6 +366,17 @@ def _usage(s, d):
 _add("usage_summary", _usage, duck("usage_log", f"""SELECT u.model, calls, input_tokens::BIGINT AS input_tokens, cache_write_tokens::BIGINT AS cache_write_tokens, cache_read_tokens::BIGINT AS cache_read_tokens, output_tokens::BIGINT AS output_tokens,
   round((pi * coalesce(i, 0)::DOUBLE + pw * coalesce(i, 0)::DOUBLE * 1.25::DOUBLE + pr * coalesce(i, 0)::DOUBLE * 0.1::DOUBLE + po * coalesce(o, 0)::DOUBLE) / 1000000, 6) AS cost FROM (SELECT model, count(*) AS calls, sum(input_tokens) AS input_tokens, sum(cache_write_tokens) AS cache_write_tokens, sum(cache_read_tokens) AS cache_read_tokens, sum(output_tokens) AS output_tokens,
   sum(CASE WHEN cli THEN 0 ELSE input_tokens END) AS pi, sum(CASE WHEN cli THEN 0 ELSE cache_write_tokens END) AS pw, sum(CASE WHEN cli THEN 0 ELSE cache_read_tokens END) AS pr, sum(CASE WHEN cli THEN 0 ELSE output_tokens END) AS po FROM usage_log GROUP BY model) u LEFT JOIN ({_PRICES}) p ON p.model = u.model"""))
+_RATED = " + ".join(f"u.{c} * coalesce({r}, 0)::DOUBLE * {w}::DOUBLE" for c, r, w in (("input_tokens", "i", 1), ("cache_write_tokens", "i", 1.25), ("cache_read_tokens", "i", 0.1), ("output_tokens", "o", 1)))
+
+
+def _usage_total(s, d):
+    rows = ranking.usage_total(view(s, d, "usage_log"), s.createDataFrame(list(adapters.PRICES), "model string, input_rate double, output_rate double"))
+    return rows.select("calls", F.round("cost", 4).alias("cost"), F.round("equivalent_cost", 4).alias("equivalent_cost"))
+
+
+_add("usage_total", _usage_total,
+     duck("usage_log", f"""SELECT count(*) AS calls, round(sum(CASE WHEN cli THEN 0 ELSE {_RATED} END) / 1000000, 4) AS cost, round(sum(CASE WHEN cli THEN {_RATED} ELSE 0 END) / 1000000, 4) AS equivalent_cost
+  FROM usage_log u LEFT JOIN ({_PRICES}) p ON p.model = u.model"""))
 _add("run_totals", lambda s, d: ranking.run_totals(view(s, d, "usage_log")), duck("usage_log", "SELECT count(*) AS runs, sum(elapsed) AS elapsed, sum(output_tokens)::BIGINT AS output_tokens FROM usage_log WHERE elapsed IS NOT NULL"))
 
 # Store.

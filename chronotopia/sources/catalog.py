@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import PLAIN_TEXT
 
 
+def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, text): every file as one row, read by the executors; a path that is not there is an error."""
+    return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
 def search(catalog: DataFrame, title: str, author: str) -> DataFrame:
     """Books of which title or authors hold every word of the request."""
     hay = F.lower(F.concat_ws(" ", "title", F.array_join(F.transform("authors", lambda a: a["name"]), " ")))

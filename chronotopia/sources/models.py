@@ -35,6 +35,39 @@ def with_retries(call: Callable[[dict], dict], waits: tuple[float, ...] = WAITS,
     return tried
 
 
+class BudgetSpent(Exception):
+    """No call is made any more: what the calls so far would have cost has reached the budget."""
+
+
+def with_budget(call: Callable[[dict], dict], cost: Callable[[dict], float], budget: float | None) -> Callable[[dict], dict]:
+    """``call`` until the answers' ``cost`` has reached ``budget`` (None: no bound); counted in each worker."""
+    spent = 0.0
+
+    def guarded(row: dict) -> dict:
+        nonlocal spent
+        if budget is not None and spent >= budget:
+            raise BudgetSpent(f"{spent:.2f} of {budget:.2f} spent")
+        answer = call(row)
+        spent += cost(answer)
+        return answer
+
+    return guarded
+
+
+def throttled(call: Callable[[dict], dict], gap: float = 1.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Callable[[dict], dict]:
+    """``call``, begun ``gap`` seconds after the one before it at the earliest; in each worker."""
+    last = None
+
+    def waiting(row: dict) -> dict:
+        nonlocal last
+        if last is not None and (left := last + gap - clock()) > 0:
+            sleep(left)
+        last = clock()
+        return call(row)
+
+    return waiting
+
+
 def answers(rows: DataFrame, call: Callable[[dict], dict], schema: str) -> DataFrame:
     """``call``'s answer to each row, in batches; the callable brings its own client and limits."""
 

@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from chronotopia.functions.display import readable_location, readable_time
@@ -344,6 +345,34 @@ def test_injected_models(spark):
     assert [r.known for r in got] == ["one", "one,two"]
 
 
+def test_budget_and_throttle():
+    call = models.with_budget(lambda r: {"cost": 0.4}, lambda a: a["cost"], 1.0)
+    assert [call({})["cost"] for _ in range(3)] == [0.4] * 3
+    with pytest.raises(models.BudgetSpent):
+        call({})
+    now, waits = [0.0], []
+    slow = models.throttled(lambda r: r, 1.0, clock=lambda: now[0], sleep=waits.append)
+    for at in (0.0, 0.25, 5.0):
+        now[0] = at
+        slow({})
+    assert waits == [0.75]
+
+
+def test_whole_text_files(spark, tmp_path):
+    for n, t in (("a", "one\n\ntwo\n"), ("b", "three é")):
+        (tmp_path / f"{n}.txt").write_text(t, encoding="utf-8")
+    got = catalog.read_texts(spark, str(tmp_path)).collect()
+    assert sorted((r.path[-5:], r.text) for r in got) == [("a.txt", "one\n\ntwo\n"), ("b.txt", "three é")]
+    with pytest.raises(AnalysisException):
+        catalog.read_texts(spark, f"{tmp_path}/none").collect()
+
+
+def test_chapters_are_numbered_without_a_shuffle(spark):
+    df = text.split_chapters(spark.createDataFrame([("b", "CHAPTER 1\n\none\n\nCHAPTER 2\n\n \n\nCHAPTER 3\n\nthree\n\nmore"), ("c", None), ("d", "no heading")], "book_id string, text string"))
+    assert [tuple(r) for r in df.orderBy("book_id", "chapter").collect()] == [("b", 1, "CHAPTER 1", ["one"]), ("b", 2, "CHAPTER 3", ["three", "more"]), ("d", 1, None, ["no heading"])]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream_of_events(spark, tmp_path):
     locs = spark.createDataFrame([(1, "real", " E ", None, None, None, None, None, None, None, None, None)], LOC)
     schema = "event_id long, book_id string, character_id long, location_id long, time_precision string, time_year int, time_month int, time_day int, time_year_range_start int, time_year_range_end int"
