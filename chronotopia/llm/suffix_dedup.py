@@ -14,7 +14,8 @@ text of that run. Only anchors whose next 81 bytes occur again need a look:
    In the end all levels have merged, so each window has met every other.
 4. The windows found, as intervals, meet their documents, which lose the bytes covered.
 
-Nothing is capped, and a match counts only if bytes agree (or 128 bits of hash for whole contexts). The text is shuffled
+Nothing is capped, and a match counts only if bytes agree (for whole contexts: two
+hashes of 64 bits, chained over the same hashes of 16 bytes each). The text is shuffled
 once, for steps 3 and 4 together (one exchange, reused).
 
 ``Index`` keeps levels between runs: batches of documents that come later are compared with all that came before.
