@@ -84,6 +84,56 @@ def test_language_model_is_a_distribution():
     assert abs(np.exp(m.log_p(np.array([0x41B041B041B041B], np.uint64))).sum() - np.exp(m.log_p(np.array([0x42042042042], np.uint64))).sum()) < 1e-6
 
 
+def kneser_ney(texts):
+    """Interpolated Kneser-Ney of one language by dictionaries, straight from its definition: (counts, discount) of each order."""
+    counts = collections.Counter(g for t in texts for g in windows(t))
+    orders = []
+    for _ in range(langid.ORDER):
+        ones, twos = (sum(c == k for c in counts.values()) for k in (1, 2))
+        orders.insert(0, (counts, min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.75))
+        counts = collections.Counter(g[1:] for g in counts)
+    return orders
+
+
+def windows(text):
+    own = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower())).lstrip(" ")
+    padded = " " * langid.PAD + own
+    return [padded[i : i + langid.ORDER] for i in range(len(own))]
+
+
+def probability(orders, gram, letters):
+    if not gram:
+        return 1 / (letters + 1)
+    counts, d = orders[len(gram) - 1]
+    lower = probability(orders, gram[1:], letters)
+    after = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+    return (max(0, counts[gram] - d) + d * len(after) * lower) / sum(after) if after else lower
+
+
+def test_language_model_is_as_dictionaries():
+    rows, rng = languages(7, 24), random.Random(8)
+    by = {k: [t for _, t, x in rows if x == k] for k in ("aa", "bb", "cc")}
+    counted = [np.unique(langid.grams(ts)[0], return_counts=True) for ts in by.values()]
+    m = langid.Model.fit(list(by), counted)
+    orders = [kneser_ney(ts) for ts in by.values()]
+    letters = len({g[-1] for o in orders for g in o[0][0]})
+    texts = ["Abc, dea 12 bad", "vwéx zv", "qqq abc", "x", " ?ß. ", "жук", *("".join(rng.choice("abvwzoßq .") for _ in range(20)) + "a" for _ in range(10))]
+    best, _, h, n = m.score(texts)
+    for text, k, got, size in zip(texts, best, h, n):
+        sums = [sum(np.log(probability(o, g, letters)) for g in windows(text)) for o in orders]
+        assert size == len(windows(text)) and abs(got + max(sums) / size) < 1e-4 and sums[k] > max(sums) - 1e-4
+
+
+def test_languages_that_were_not_learned_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = docs.filter(langid._held(0))
+    share = lambda docs, m: [r for r in langid.predict(docs.filter("text IS NOT NULL"), m, ("lang",)).collect() if r.lang is not None]
+    assert not any(r.rejected for r in share(held, langid.train(docs)))
+    found = share(held, langid.train(docs.filter("lang <> 'fr'")))
+    own, foreign = [r.rejected for r in found if r.lang != "fr"], [r.rejected for r in found if r.lang == "fr"]
+    assert sum(own) <= 0.02 * len(own) and sum(foreign) >= 0.8 * len(foreign) > 10
+
+
 def test_without_labels_nothing_is_known(spark, tmp_path):
     d = documents(spark, tmp_path, [(1, "abc", None), (2, None, None)])
     assert [(r.lang_pred, r.score, r.rejected) for r in langid.op2_langid(spark, d).collect()] == [("und", 0.0, True)] * 2
