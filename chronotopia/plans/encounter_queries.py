@@ -67,7 +67,7 @@ def _add(name, query, sql=None):
         ORACLES[name] = sql
 
 
-_add("location_points", lambda s, d: P.location_points(view(s, d, "locations")), duck("locations", LOCATION_POINTS))
+_add("location_points", lambda s, d: P.location_points(view(s, d, "locations")).drop("book_id"), duck("locations", LOCATION_POINTS))
 _add("event_match_points", _points, duck("locations presence", MATCH_POINTS))
 _add("event_readable", _readable, duck(ALL, READABLE))
 _add("readable_location", lambda s, d: view(s, d, "locations").select("location_id", readable_location().alias("readable_location")), duck("locations", f"SELECT location_id, {PLACE} AS readable_location FROM locations"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleanup, fold, people, places, text
 from ..sources import store
+from ..sources.session import checkpointed
 
 Answer = Callable[[DataFrame], DataFrame]
 
@@ -45,28 +46,29 @@ def chapters_of(novels: DataFrame, percent: float = 100) -> DataFrame:
 
 
 def process_books(novels: DataFrame, services: Services, targets: DataFrame | None = None, percent: float = 100) -> dict[str, DataFrame]:
-    """The five tables of novels (book_id, title, text). ``targets`` (book_id, name, ordinal) limits whose events count.
+    """The five tables of novels (book_id, title, text), with working ids. ``targets`` (book_id, name, ordinal) limits whose events count.
 
-    Flags keep the groups that are not certain, as given; ``store.validate`` refuses one whose member a certain group took.
+    Chapters, what a service answers and the refined events are kept by checkpoints: a service is asked once, however often
+    the tables are read. Flags keep the groups that are not certain, as given; ``store.validate`` refuses one whose member a certain group took.
     """
-    chapters = chapters_of(novels, percent)
-    declared = fold.normalize_new_characters(services.declare(chapters)).withColumn("kind", F.lit(0))
-    events = services.events(chapters)
+    chapters = checkpointed(chapters_of(novels, percent))
+    declared = fold.normalize_new_characters(checkpointed(services.declare(chapters))).withColumn("kind", F.lit(0))
+    events = checkpointed(services.events(chapters))
     if targets is not None:
         seeds = fold.seed_characters(targets)
         declared, events = declared.unionByName(seeds), fold.filter_targets(events, seeds)
     registry = fold.merge_registry(declared.unionByName(fold.orphan_placeholders(declared, events)))
     characters = registry.select("book_id", F.col("id").alias("character_id"), "canonical_name", "aliases")
     events = fold.stamp_events(events)
-    events = cleanup.merge_chronology(events.drop("story_chronological_order"), services.order(cleanup.dated_events(events)))
-    estimates = services.estimate(text.setting_sample(chapters))
-    certain, other = people.split_groups(services.duplicates(people.dedup_context(characters, events)))
+    events = cleanup.merge_chronology(events.drop("story_chronological_order"), checkpointed(services.order(cleanup.dated_events(events))))
+    estimates = checkpointed(services.estimate(text.setting_sample(chapters)))
+    certain, other = people.split_groups(checkpointed(services.duplicates(people.dedup_context(characters, events))))
     members = certain.select("book_id", "position", "canonical_id", F.explode("character_ids").alias("member_id"))
     characters, events = people.apply_merges(characters, events, people.redirect_map(members))
     events = cleanup.filter_complete_events(events, estimates)
     # The order of telling: chapters first, then places in them.
     events = events.withColumn("ordinal", F.shiftleft(F.col("chapter").cast("long"), 32) + F.col("narration_order"))
-    events, locations = places.finalize_locations(places.refine_locations(events))
+    events, locations = places.finalize_locations(checkpointed(places.refine_locations(events)))
     books = novels.drop("text").join(estimates, "book_id", "left").join(chapters.groupBy("book_id").agg(F.count("*").alias("chapters_processed")), "book_id", "left")
     flags = other.withColumn("flag_id", F.sha2(F.concat_ws("\0", "book_id", F.col("position").cast("string")), 256)).withColumn("status", F.lit("pending"))
     return {
@@ -75,6 +77,7 @@ def process_books(novels: DataFrame, services: Services, targets: DataFrame | No
     }
 
 
-def process_and_save(novels: DataFrame, services: Services, root: str, run_id: str, replaces: str | None = None, targets: DataFrame | None = None, percent: float = 100) -> None:
-    """``process_books``, then all tables of the run or none."""
-    store.save_books(process_books(novels, services, targets, percent), root, run_id, replaces)
+def process_and_save(novels: DataFrame, services: Services, root: str, run_id: str, replaces: str | None = None, targets: DataFrame | None = None, percent: float = 100, replace_books: bool = False) -> None:
+    """``process_books``, then all tables of the run, with ids that last, or none; see ``store.save_books``."""
+    tables = store.lasting_ids(process_books(novels, services, targets, percent), run_id)
+    store.save_books(tables, root, run_id, replaces, replace_books)

@@ -1,16 +1,22 @@
 """Books as runs of Parquet tables with a manifest: a run is visible as a whole once its manifest row is written.
 
 Each table of a run lies under <root>/<table>/run_id=<id>; the manifest, written last and by itself, names the runs that
-count, so readers never see half a run, and replacing or removing a book is a manifest row too.
+count and the books of them that count no more, so readers never see half a run, and replacing or removing a book is a
+manifest row too.
+
+Working ids are unique inside a book at most (every book has a ``loc_1``). What is saved by ``process_and_save`` has ids
+that last: digests of the run, the book and the working id, the same wherever they are computed, so no table of ids has to
+be joined, and unique over books and runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import MAX_CHAPTERS
 from ..operators.places import transit_shape_violations
+from .session import remove_path
 
 BOOK_TABLES = ("books", "characters", "locations", "events", "character_duplicate_flags")
 
@@ -23,9 +29,40 @@ def id_remap(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return out.select(*[new if c == column else F.col(c) for c in rows.columns])
 
 
+def id_remap_members(rows: DataFrame, ids: DataFrame, column: str, key: str) -> DataFrame:
+    """As ``id_remap``, of ids inside the array ``column``, order kept; ``key`` names a row of a book. A member that is not there is an error."""
+    each = rows.select("book_id", key, F.posexplode(column).alias("_at", "_member"))
+    new = id_remap(each, ids, "_member").groupBy("book_id", key).agg(F.array_sort(F.collect_list(F.struct("_at", "_member"))).alias("_new"))
+    out = F.when(F.col(column).isNotNull(), F.coalesce(F.transform("_new", lambda x: x["_member"]), F.array())).alias(column)
+    return rows.join(new, ["book_id", key], "left").select(*[out if c == column else F.col(c) for c in rows.columns])
+
+
+def lasting(run_id: str, *ids: Column | str) -> Column:
+    """The lasting id of a working id: a digest of the run, the book and the id. Null stays null."""
+    cols = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in ids]
+    return F.when(cols[-1].isNotNull(), F.sha2(F.concat_ws("\0", F.lit(run_id), *cols), 256))
+
+
 def surrogate_ids(rows: DataFrame, column: str, run_id: str) -> DataFrame:
-    """(book_id, old_id, new_id): lasting ids that follow from the run and the working id."""
-    return rows.select("book_id", F.col(column).alias("old_id"), F.sha2(F.concat_ws("\0", F.lit(run_id), "book_id", column), 256).alias("new_id")).distinct()
+    """(book_id, old_id, new_id): the lasting ids of a table's working ids."""
+    return rows.select("book_id", F.col(column).alias("old_id"), lasting(run_id, "book_id", column).alias("new_id")).distinct()
+
+
+#: Columns with ids, besides book_id, of each table; those in arrays are members.
+IDS = {"characters": ("character_id",), "locations": ("location_id",), "events": ("event_id", "character_id", "location_id"), "character_duplicate_flags": ("flag_id", "canonical_id")}
+MEMBERS = {"character_duplicate_flags": ("character_ids",)}
+
+
+def lasting_ids(tables: dict[str, DataFrame], run_id: str) -> dict[str, DataFrame]:
+    """All tables with lasting ids in place of working ids; a book's own becomes ``source_book_id``."""
+    out = {}
+    for name, rows in tables.items():
+        for c in MEMBERS.get(name, ()):  # before book_id is another
+            rows = rows.withColumn(c, F.transform(c, lambda x: lasting(run_id, F.col("book_id"), x)))
+        new = {c: lasting(run_id, "book_id", c) for c in IDS.get(name, ())}
+        cols = [new.get(c, lasting(run_id, c) if c == "book_id" else F.col(f"`{c}`")).alias(c) for c in rows.columns]
+        out[name] = rows.select(*cols, *([F.col("book_id").cast("string").alias("source_book_id")] if name == "books" and "source_book_id" not in rows.columns else []))
+    return out
 
 
 def validate(tables: dict[str, DataFrame]) -> None:
@@ -44,21 +81,56 @@ def validate(tables: dict[str, DataFrame]) -> None:
             raise ValueError(what)
 
 
-def save_books(tables: dict[str, DataFrame], root: str, run_id: str, replaces: str | None = None) -> None:
-    """Check and write all tables of a run, then its manifest row; ``replaces`` names a run that counts no more."""
-    validate(tables)
+MANIFEST = "run_id string, book_id string, live boolean"
+
+
+def _note(spark: SparkSession, root: str, rows: DataFrame) -> None:
+    rows.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+
+
+def save_books(tables: dict[str, DataFrame], root: str, run_id: str, replaces: str | None = None, replace_books: bool = False) -> None:
+    """Write all tables of a run, check them as written, then add the manifest's row.
+
+    ``replaces`` names a run that counts no more; with ``replace_books`` the older versions of these books (of one
+    source_book_id) count no more, and what else their runs hold stays. A run that fails its checks is taken away again.
+    """
+    spark = tables["books"].sparkSession
     for name, rows in tables.items():
         rows.write.parquet(f"{root}/{name}/run_id={run_id}")
-    spark = tables["books"].sparkSession
-    rows = [(run_id, True)] + ([(replaces, False)] if replaces else [])
-    spark.createDataFrame(rows, "run_id string, live boolean").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    written = {name: spark.read.parquet(f"{root}/{name}/run_id={run_id}") for name in tables}
+    try:
+        validate(written)
+    except ValueError:
+        for name in tables:
+            remove_path(spark, f"{root}/{name}/run_id={run_id}")
+        raise
+    rows = spark.createDataFrame([(run_id, None, True)] + ([(replaces, None, False)] if replaces else []), MANIFEST)
+    if replace_books and _exists(spark, f"{root}/manifest"):
+        again = written["books"].select("source_book_id").distinct()
+        rows = rows.union(load(spark, root, "books").join(again, "source_book_id", "left_semi").select("run_id", "book_id", F.lit(False)))
+    _note(spark, root, rows)
+
+
+def remove_books(spark: SparkSession, root: str, source_book_id: str) -> None:
+    """All versions of a book count no more."""
+    gone = load(spark, root, "books").filter(F.col("source_book_id") == source_book_id)
+    _note(spark, root, gone.select(F.col("run_id").cast("string").alias("run_id"), "book_id", F.lit(False).alias("live")))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of all runs that count."""
-    w = Window.partitionBy("run_id").orderBy(F.desc("at"), "live")
-    live = spark.read.parquet(f"{root}/manifest").withColumn("_n", F.row_number().over(w)).filter("_n = 1 AND live").select("run_id")
-    return spark.read.option("basePath", f"{root}/{name}").option("mergeSchema", "true").parquet(f"{root}/{name}").join(live, "run_id", "left_semi")
+    """A table of all runs and books that count."""
+    w = Window.partitionBy("run_id", "book_id").orderBy(F.desc("at"), "live")
+    last = spark.read.schema(f"{MANIFEST}, at timestamp").parquet(f"{root}/manifest").withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    rows = spark.read.option("basePath", f"{root}/{name}").option("mergeSchema", "true").parquet(f"{root}/{name}")
+    rows = rows.withColumn("run_id", F.col("run_id").cast("string"))
+    rows = rows.join(last.filter("book_id IS NULL AND live").select("run_id"), "run_id", "left_semi")
+    gone = last.filter("book_id IS NOT NULL AND NOT live").select("run_id", "book_id")
+    return rows.withColumn("_book", F.col("book_id").cast("string")).join(gone.withColumnRenamed("book_id", "_book"), ["run_id", "_book"], "left_anti").drop("_book")
 
 
 def already_processed(worklist: DataFrame, books: DataFrame, key: str = "gutenberg_id") -> DataFrame:
