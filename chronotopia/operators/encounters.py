@@ -3,20 +3,19 @@
 Plans: with a place level, its equality is a hash-join key; with a time granularity, points are put in buckets of years
 and the bucket is a key too, so no nested loop is planned. Counting lists no pairs: it takes sums over years and is linear
 in the distinct points, at any granularity. Groups join points that are alike only once, with their number, and text is
-attached to the groups. Listing all pairs without any restriction is a nested loop by its nature; a random encounter
-without restriction draws pairs by number instead.
+attached to the groups. Listing all pairs without any restriction is a nested loop by its nature; the cap and the random
+encounter list none, see ``sampling``.
 """
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import UNIT, check_granularity, location_condition, time_condition, unit_of
-from ..functions.vocabulary import CANDIDATE_CAP, CONTINENTS, LOCATION_LEVELS
+from ..functions.vocabulary import CONTINENTS, LOCATION_LEVELS
 
 #: Units (years, decades or centuries) in a bucket of the time join.
 BUCKET = {"year": 4, "month": 4, "day": 4, "decade": 1, "century": 1}
@@ -60,14 +59,14 @@ def _wild(time: str, location: str) -> list[str]:
     return levels + {"month": ["time_month"], "day": ["time_month", "time_day"]}.get(time, [])
 
 
-def _meeting(points: DataFrame, wild: list[str], keys: list[str]) -> DataFrame:
+def _meeting(points: DataFrame, wild: list[str], keys: list[str], kept: tuple[str, ...] = ("y_start", "y_end", "m")) -> DataFrame:
     """``points`` for each set of wild columns that the other side may know, in both roles: points that agree share keys, known and w_*."""
     own = sum((F.when(F.col(c).isNotNull(), 1 << n).otherwise(0) for n, c in enumerate(wild)), F.lit(0))
     rows = points.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit((1 << len(wild)) - 1)))).withColumn("second", F.explode(F.array(F.lit(False), F.lit(True))))
     first, then = F.when(F.col("second"), F.col("_other")).otherwise(F.col("_own")), F.when(F.col("second"), F.col("_own")).otherwise(F.col("_other"))
     both = F.col("_own").bitwiseAND(F.col("_other"))
     shared = [F.when(both.bitwiseAND(F.lit(1 << n)) != 0, F.col(c)).alias(f"w_{c}") for n, c in enumerate(wild)]
-    return rows.select(*keys, (first * (1 << len(wild)) + then).alias("known"), *shared, "second", "y_start", "y_end", "m")
+    return rows.select(*keys, (first * (1 << len(wild)) + then).alias("known"), *shared, "second", *kept)
 
 
 def pair_count(points: DataFrame, time: str = "year", location: str = "city", country: str | None = None) -> DataFrame:
@@ -170,47 +169,6 @@ def drawn(seed: int, *cols: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])), 1, 8), 16, 10).cast("long")
 
 
-def bernoulli_cap(found: DataFrame, count: int, seed: int = 0, cap: int = CANDIDATE_CAP) -> DataFrame:
-    """All pairs, or above ``cap`` each with probability cap / count (a sampling operator)."""
-    return found if count <= cap else found.filter(drawn(seed, *PAIR) < cap / count * 2**32)
-
-
-def drawn_pairs(points: DataFrame, country: str | None = None, seed: int = 0, cap: int = CANDIDATE_CAP) -> DataFrame:
-    """Up to ``cap`` pairs of points of different books without any other restriction, drawn by number (repeated ones once).
-
-    Books are drawn by their number of points, then points by their place in the book; no pair is listed that is not drawn.
-    """
-    own = in_country(points, country).filter("book_id IS NOT NULL")
-    one = own.select(*[F.col(c) for c in ("event_id", "book_id", "character_id", "location_id", "point_role")])
-    w = Window.partitionBy("book_id", "bin").orderBy("event_id", "point_role", "location_id", "character_id")
-    one = one.withColumn("bin", F.pmod(F.xxhash64("event_id"), F.lit(1024)).cast("int"))
-    sizes = one.groupBy("book_id", "bin").agg(F.count("*").alias("n"))
-    upto = sizes.withColumn("past", F.coalesce(F.sum("n").over(Window.orderBy("book_id", "bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    one = one.withColumn("k", F.row_number().over(w)).join(upto, ["book_id", "bin"]).withColumn("place", F.col("past") + F.col("k") - 1).drop("bin", "n", "past", "k")
-    rng = random.Random(seed)
-    # Twice as many as asked for, as those inside one book do not count.
-    draws = sorted({tuple(sorted(rng.sample(range(total), 2))) for _ in range(2 * cap)}) if total > 1 else []
-    draws = points.sparkSession.createDataFrame(draws, "place_a long, place_b long")
-    for s in "ab":
-        side = one.select(*[F.col(c).alias(f"{c}_{s}") for c in one.columns])
-        draws = side.join(F.broadcast(draws), f"place_{s}")
-    out = [f"{c}_{s}" for s in "ab" for c in ("event_id", "book_id", "character_id", "location_id", "point_role")]
-    return draws.filter("book_id_a < book_id_b").select(*out).limit(cap)
-
-
-def random_encounter(points: DataFrame, readable: DataFrame, time: str, location: str, country: str | None = None, seed: int = 0, cap: int = CANDIDATE_CAP) -> DataFrame:
-    """One encounter, drawn over groups, so that characters with many events are not preferred; no row if there is none."""
-    check_granularity(time, location)
-    count = pair_count(points, time, location, country).first()["n"]
-    if time == location == "none" and count > cap:
-        found = drawn_pairs(points, country, seed, cap)
-    else:
-        found = bernoulli_cap(pairs(points, time, location, country), count, seed, cap)
-    groups = encounter_groups(found, readable, drawn(seed + 1, *PAIR))
-    return groups.orderBy(drawn(seed + 2, "event_id_a", "event_id_b"), "event_id_a", "event_id_b", "character_id_a", "character_id_b").limit(1)
-
-
 def encounter(points: DataFrame, readable: DataFrame, time: str = "year", location: str = "city", country: str | None = None, seed: int = 0, coordinates: DataFrame | None = None) -> DataFrame:
     """The answer to one request: a random encounter, with lat and lon of both sides from ``coordinates`` (country, region, city, lat, lon).
 
@@ -219,6 +177,8 @@ def encounter(points: DataFrame, readable: DataFrame, time: str = "year", locati
     check_granularity(time, location)
     if country is not None and list_countries(points).filter(F.col("country") == country.strip().lower()).isEmpty():
         raise ValueError(f"unknown country {country!r}")
+    from .sampling import random_encounter  # which draws with this module's predicates
+
     found = random_encounter(points, readable, time, location, country, seed)
     if coordinates is None:
         return found

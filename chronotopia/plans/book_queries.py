@@ -381,6 +381,8 @@ _add("run_totals", lambda s, d: ranking.run_totals(view(s, d, "usage_log")), duc
 
 # Store.
 _ids = lambda s, d: view(s, d, "characters").select("book_id", F.col("character_id").alias("old_id"), F.md5(F.concat_ws("-", "book_id", F.col("character_id").cast("string")).cast("binary")).alias("new_id"))
+_add("id_remap_members", lambda s, d: store.id_remap_members(_flags(s, d).select("book_id", "flag_id", "character_ids"), _ids(s, d), "character_ids", "flag_id").select("book_id", "flag_id", F.array_join("character_ids", ",").alias("members")),
+     duck("dup_groups dup_members", f"SELECT book_id, flag_id, array_to_string(list_transform(character_ids, lambda x: md5(book_id || '-' || x)), ',') AS members FROM ({_FLAGS})"))
 _add("id_remap", lambda s, d: store.id_remap(view(s, d, "presence").select("event_id", "book_id", "character_id"), _ids(s, d), "character_id"), duck("presence", "SELECT event_id, book_id, md5(book_id || '-' || character_id) AS character_id FROM presence"))
 
 

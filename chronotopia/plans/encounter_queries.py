@@ -9,6 +9,7 @@ from ..functions.predicates import UNIT
 from ..functions.vocabulary import CANDIDATE_CAP, CONTINENTS, LOCATION_LEVELS
 from ..operators import encounters as E
 from ..operators import points as P
+from ..operators import sampling as S
 from ..sources.adapters import duck, view
 
 QUERIES, ORACLES = {}, {}
@@ -121,24 +122,76 @@ _add("same_book_check", lambda s, d: E.same_book_check(E.pairs(_points(s, d), "y
      duck(ALL, "").rstrip() + f", pts AS ({MATCH_POINTS}) SELECT count(*) AS total, count(*) FILTER (WHERE ba.title = bb.title) AS same_book FROM pts a JOIN pts b ON a.book_id < b.book_id AND {time_sql('year')} AND {location_sql('city')} JOIN books ba ON ba.book_id = a.book_id JOIN books bb ON bb.book_id = b.book_id")
 
 
-def drawn_sql(seed: int, *cols: str) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(cols)})), 1, 8))::BIGINT"
+def number_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, {S.DIGITS}))::BIGINT"
 
 
-def capped_sql(time: str, location: str, seed: int) -> str:
-    """CTEs up to kept, the pairs that the cap leaves."""
-    found = f"pts AS ({MATCH_POINTS}), found AS (SELECT {_ids} FROM pts a JOIN pts b ON a.book_id < b.book_id AND {time_sql(time)} AND {location_sql(location)})"
-    return f", {found}, kept AS (SELECT * FROM found WHERE {drawn_sql(seed, *E.PAIR)} < CASE WHEN (SELECT count(*) FROM found) <= {CANDIDATE_CAP} THEN 1 ELSE {CANDIDATE_CAP} / (SELECT count(*) FROM found)::DOUBLE END * 4294967296)"
+def sides_sql(time: str, location: str) -> str:
+    """CTEs up to e: the rows of sampling.sides."""
+    wild, place = E._wild(time, location), "" if location == "none" else location
+    units = "0 AS u_start, 0 AS u_end, 0 AS unit"
+    if time != "none":
+        at = lambda c: c if UNIT[time] == 1 else f"floor({c} / {UNIT[time]}.0)::INT"
+        units = f"{at('y_start')} AS u_start, {at('y_end')} AS u_end, unnest(range(least({at('y_start')}, {at('y_end')}), greatest({at('y_start')}, {at('y_end')}) + 1))::INT AS unit"
+    known = " AND ".join(["book_id IS NOT NULL", *([f"{place} IS NOT NULL"] if place else []), *(["y_start IS NOT NULL", "y_end IS NOT NULL"] if time != "none" else [])])
+    own, bits = " + ".join([f"(CASE WHEN {c} IS NOT NULL THEN {1 << k} ELSE 0 END)" for k, c in enumerate(wild)] or ["0"]), 1 << len(wild)
+    shared = "".join(f", coalesce(CASE WHEN own & other & {1 << k} <> 0 THEN {c} END::VARCHAR, '')" for k, c in enumerate(wild))
+    return f"""pts AS ({MATCH_POINTS}), spread AS (SELECT *, {units}, md5(concat_ws('|', event_id, point_role)) AS d, {own} AS own FROM pts WHERE {known}),
+  e AS (SELECT *, substr(d, 1, 2) AS bin, md5(concat_ws('|', {f"{place}, " if place else ""}unit, CASE WHEN second THEN other * {bits} + own ELSE own * {bits} + other END{shared})) AS g
+    FROM (SELECT *, unnest([false, true]) AS second FROM (SELECT *, unnest(range({bits})) AS other FROM spread)))"""
 
 
+_agree = "a.unit = greatest(a.u_start, b.u_start) AND a.u_start <= b.u_end AND b.u_start <= a.u_end"
 _side = lambda s: ", ".join(f"r{s}.{c} AS {n}_{s}" for c, n in zip(E.SIDE, E.NAMES))
-_random = f"""{capped_sql('year', 'city', 3)}, readable AS ({READABLE}),
-  shown AS (SELECT kept.*, {_side('a')}, {_side('b')}, {drawn_sql(4, *E.PAIR)} AS r FROM kept JOIN readable ra ON ra.event_id = event_id_a JOIN readable rb ON rb.event_id = event_id_b),
-  grouped AS (SELECT *, count(*) OVER (PARTITION BY character_id_a, character_id_b, location_a, time_a, location_b, time_b) AS support_count,
-    row_number() OVER (PARTITION BY character_id_a, character_id_b, location_a, time_a, location_b, time_b ORDER BY r, event_id_a, event_id_b) AS rn FROM shown)
-SELECT character_id_a, character_id_b, event_id_a, event_id_b, {', '.join(f'{n}_{s}' for s in 'ab' for n in E.NAMES)}, support_count FROM grouped WHERE rn = 1
-ORDER BY {drawn_sql(5, 'event_id_a', 'event_id_b')}, event_id_a, event_id_b, character_id_a, character_id_b LIMIT 1"""
-_add("bernoulli_cap", lambda s, d: E.bernoulli_cap(E.pairs(_points(s, d), "year", "city"), E.pair_count(_points(s, d), "year", "city").first()["n"], 1),
-     duck(ALL, "").rstrip() + capped_sql("year", "city", 1) + " SELECT * FROM kept")
-_add("random_encounter", lambda s, d: E.random_encounter(_points(s, d), _readable(s, d), "year", "city", seed=3), duck(ALL, "").rstrip() + _random)
+_in_order = "a.d, a.event_id, a.point_role, b.book_id, b.d, b.event_id, b.point_role"
+
+
+def possible_sql(time: str) -> str:
+    """CTE all_pairs: every possible pair with its number in all (t) and in its cell (pos), and if it counts."""
+    return f"""all_pairs AS (SELECT {_ids}, a.g AS g, a.bin AS bin, {'true' if time == 'none' else _agree} AS counts, row_number() OVER (ORDER BY a.g, a.book_id, {_in_order}) - 1 AS t,
+    row_number() OVER (PARTITION BY a.g, a.book_id, a.bin ORDER BY {_in_order}) - 1 AS pos FROM e a JOIN e b ON a.g = b.g AND a.book_id < b.book_id AND NOT a.second AND b.second)"""
+
+
+def capped_sql(time: str, location: str, seed: int) -> str:
+    u = lambda k: f"floor(ln(({number_sql(repr(str(seed)), 'g', 'book_id_a', 'bin', k)} + 0.5::DOUBLE) / {S.WHOLE}) / pace)::BIGINT"
+    cell = "g, book_id_a, bin, weight"
+    return f""", {sides_sql(time, location)}, {possible_sql(time)}, n AS (SELECT count(*) AS n FROM all_pairs WHERE counts), rate AS (SELECT ln(1 - {CANDIDATE_CAP} / n::DOUBLE) AS pace FROM n WHERE n > {CANDIDATE_CAP}),
+  steps AS (SELECT {cell}, 0 AS k, {u("'0'")} AS pos FROM (SELECT g, book_id_a, bin, count(*) AS weight FROM all_pairs GROUP BY ALL), rate UNION ALL SELECT {cell}, k + 1, pos + 1 + {u('k + 1')} FROM steps, rate WHERE pos < weight)
+SELECT * EXCLUDE (g, bin, counts, t, pos) FROM all_pairs WHERE counts AND ((SELECT n FROM n) <= {CANDIDATE_CAP} OR (g, book_id_a, bin, pos) IN (SELECT (g, book_id_a, bin, pos) FROM steps))"""
+
+
+_shown_cols = f"character_id_a, character_id_b, event_id_a, event_id_b, {', '.join(f'{n}_{s}' for s in 'ab' for n in E.NAMES)}, support_count"
+_alike = "book_id_a, character_id_a, location_a, time_a, book_id_b, character_id_b, location_b, time_b"
+_taken = lambda seed: f"{number_sql(repr(f'{seed}|take'), 'draw')} / {S.WHOLE}::DOUBLE * support_count < 1 ORDER BY draw LIMIT 1"
+
+
+def random_sql(time: str, location: str, seed: int) -> str:
+    """By listing all pairs and the encounters they make."""
+    return f""", {sides_sql(time, location)}, {possible_sql(time)}, readable AS ({READABLE}),
+  shown AS (SELECT found.*, {_side('a')}, {_side('b')} FROM all_pairs found JOIN readable ra ON ra.event_id = event_id_a JOIN readable rb ON rb.event_id = event_id_b WHERE counts),
+  met AS (SELECT *, count(*) OVER (PARTITION BY {_alike}) AS support_count FROM shown),
+  draws AS (SELECT draw, {number_sql(repr(str(seed)), 'draw')}::HUGEINT * (SELECT count(*) FROM all_pairs) // {S.WHOLE} AS t FROM range(4096) r(draw))
+SELECT {_shown_cols} FROM draws JOIN met USING (t) WHERE {_taken(seed)}"""
+
+
+def random_anywhere_sql(seed: int) -> str:
+    """Without any restriction there are too many pairs to list: a draw's first point is where the sums of partners pass it, its second one is counted from there."""
+    return f""", {sides_sql('none', 'none')}, readable AS ({READABLE}),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY book_id, d, event_id, point_role) - 1 AS k, count(*) OVER (ORDER BY book_id) AS past, count(*) OVER () AS n FROM e WHERE second),
+  firsts AS (SELECT *, coalesce(sum(n - past) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ranked),
+  draws AS (SELECT draw, {number_sql(repr(str(seed)), 'draw')}::HUGEINT * (SELECT sum(n - past) FROM firsts) // {S.WHOLE} AS t FROM range(64) r(draw)),
+  drawn AS (SELECT draw, a.event_id AS event_id_a, b.event_id AS event_id_b, a.book_id AS book_id_a, b.book_id AS book_id_b, a.character_id AS character_id_a, b.character_id AS character_id_b
+    FROM draws JOIN firsts a ON t >= start AND t < start + n - past JOIN ranked b ON b.k = a.past + (t - start)),
+  shown AS (SELECT drawn.*, {_side('a')}, {_side('b')} FROM drawn JOIN readable ra ON ra.event_id = event_id_a JOIN readable rb ON rb.event_id = event_id_b),
+  alike AS (SELECT s.draw, p.event_id, p.book_id = s.book_id_a AS first FROM shown s JOIN ranked p ON (p.book_id = s.book_id_a AND p.character_id = s.character_id_a) OR (p.book_id = s.book_id_b AND p.character_id = s.character_id_b)
+    JOIN readable r ON r.event_id = p.event_id WHERE r.readable_location = CASE WHEN p.book_id = s.book_id_a THEN location_a ELSE location_b END AND r.readable_time IS NOT DISTINCT FROM CASE WHEN p.book_id = s.book_id_a THEN time_a ELSE time_b END),
+  met AS (SELECT shown.*, x.support_count FROM shown JOIN (SELECT draw, count(*) FILTER (WHERE first) * count(*) FILTER (WHERE NOT first) AS support_count FROM alike GROUP BY draw) x USING (draw))
+SELECT {_shown_cols} FROM met WHERE {_taken(seed)}"""
+
+
+_with_recursive = lambda names: duck(names, "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+_add("bernoulli_cap", lambda s, d: S.bernoulli_pairs(_points(s, d), "year", "city", seed=1), _with_recursive("locations presence") + capped_sql("year", "city", 1))
+_add("random_encounter", lambda s, d: S.random_encounter(_points(s, d), _readable(s, d), "year", "city", seed=3), duck(ALL, "").rstrip() + random_sql("year", "city", 3))
+_add("random_encounter_decade_region", lambda s, d: S.random_encounter(_points(s, d), _readable(s, d), "decade", "region", seed=5), duck(ALL, "").rstrip() + random_sql("decade", "region", 5))
+_add("random_encounter_anywhere", lambda s, d: S.random_encounter(_points(s, d), _readable(s, d), "none", "none", seed=4), duck(ALL, "").rstrip() + random_anywhere_sql(4))
 _add("fk_joins", lambda s, d: _readable(s, d).groupBy("book_title").agg(F.count("*").alias("n")), duck(ALL, f"SELECT book_title, count(*) AS n FROM ({READABLE}) GROUP BY book_title"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronotopia.functions.display import readable_location, readable_time
 from chronotopia.functions.vocabulary import LOCATION_GRANULARITIES, TIME_GRANULARITIES
-from chronotopia.operators import cleanup, encounters, fold, people, places, points, ranking, text
+from chronotopia.operators import cleanup, encounters, fold, people, places, points, ranking, sampling, text
 from chronotopia.sources import catalog, models, store
 from chronotopia.streaming.points import append_points
 
@@ -96,13 +96,6 @@ def test_counts_are_as_listing_all_pairs(spark):
     assert n(p, "year", "city", " X ") > 0 and n(p, "year", "city", "q") == 0
 
 
-def test_pairs_drawn_without_restriction(spark):
-    p = pts(spark, *[(rng, 1, 1, None, None, None, None, None, None) for rng in "aabbbccccd" * 12])
-    got = encounters.drawn_pairs(p, seed=1, cap=50).collect()
-    assert len(got) == 50 == len(set(got)) and all(r.book_id_a < r.book_id_b for r in got)
-    assert encounters.drawn_pairs(pts(spark, ("a", 1, 1, None, None, None, None, None, None))).collect() == []
-
-
 def test_continents_are_no_countries(spark):
     y = (1800, 1800, None, None)
     p = pts(spark, ("a", *y, "europe", None, None, None), ("b", *y, "europe", None, None, None), ("a", *y, "italy", None, None, None), ("b", *y, "italy", None, None, None), ("a", *y, "spain", None, None, None))
@@ -145,8 +138,8 @@ def test_support_counts_point_pairs(spark):
     assert (one.character_a, one.lat_a, one.lon_b) == ("X", 1.5, 2.5)
     with pytest.raises(ValueError):
         encounters.encounter(p, r, "year", "country", "nowhere")
-    assert encounters.random_encounter(p, r, "year", "country").count() == 1
-    assert encounters.random_encounter(p, r, "year", "city").count() == 0
+    assert sampling.random_encounter(p, r, "year", "country").count() == 1
+    assert sampling.random_encounter(p, r, "year", "city").count() == 0
 
 
 def test_headings():
