@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import UNIT, check_granularity, location_condition, time_condition, unit_of
 from ..functions.vocabulary import CONTINENTS, LOCATION_LEVELS
+from ..sources.session import checkpointed
 
 #: Units (years, decades or centuries) in a bucket of the time join.
 BUCKET = {"year": 4, "month": 4, "day": 4, "decade": 1, "century": 1}
@@ -203,25 +204,43 @@ def list_countries(points: DataFrame) -> DataFrame:
     return known.groupBy("country").agg(F.countDistinct("book_id").alias("n")).filter("n >= 2").select("country").orderBy("country")
 
 
+#: Shares of the units, by first year, among which the first rows are looked for before all are.
+HORIZONS = (1 / 64, 1 / 8)
+
+
 def overlap_years(points: DataFrame, readable: DataFrame, location: str = "city", limit: int | None = 20) -> DataFrame:
-    """Distinct characters, place and common years of pairs in the same year; first years first."""
-    own = points.select("event_id", "character_id", "location_id", "point_role", *POINT)
-    found = _joined(own, "year", location)
-    names = readable.select("event_id", "character_name")
-    start, end = F.greatest("a.y_start", "b.y_start"), F.least("a.y_end", "b.y_end")
-    rows = found.select(
-        F.col("a.event_id").alias("ea"), F.col("b.event_id").alias("eb"), F.col(f"a.{location}").alias("place"),
-        F.when(start <= end, start).alias("overlap_start"), F.when(start <= end, end).alias("overlap_end"),
-    )
-    rows = rows.join(names.toDF("ea", "character_a"), "ea").join(names.toDF("eb", "character_b"), "eb")
-    rows = rows.select("character_a", "character_b", "place", "overlap_start", "overlap_end").distinct()
-    if limit is None:
-        return rows
-    return rows.orderBy(F.asc_nulls_last("overlap_start"), F.asc_nulls_last("overlap_end"), "character_a", "character_b", "place").limit(limit)
+    """Distinct characters, place and common years of pairs in the same year; first years first.
 
+    Names are attached to the points, and what is alike is joined once. With a ``limit`` not all pairs are listed: common
+    years begin when the later of two begins, so among those that begin by some year the first rows are whole, and if they
+    are enough, no others are paired.
+    """
+    levels = LOCATION_LEVELS[: LOCATION_LEVELS.index(location) + 1]
+    named = points.select("event_id", "book_id", "y_start", "y_end", *levels).join(readable.select("event_id", "character_name"), "event_id")
+    units = named.drop("event_id").filter(F.col(location).isNotNull() & F.col("y_start").isNotNull() & F.col("y_end").isNotNull()).distinct()
+
+    def rows(some: DataFrame) -> DataFrame:
+        start, end = F.greatest("a.y_start", "b.y_start"), F.least("a.y_end", "b.y_end")
+        names = [F.col(f"{s}.character_name").alias(f"character_{s}") for s in "ab"]
+        return _joined(some, "year", location).select(
+            *names, F.col(f"a.{location}").alias("place"), F.when(start <= end, start).alias("overlap_start"), F.when(start <= end, end).alias("overlap_end")
+        ).distinct()
 
-def same_book_check(found: DataFrame, books: DataFrame) -> DataFrame:
-    """total pairs, and those of which both books have one title (expected none)."""
-    titles = books.select("book_id", "title")
-    rows = found.join(titles.toDF("book_id_a", "title_a"), "book_id_a").join(titles.toDF("book_id_b", "title_b"), "book_id_b")
-    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("title_a") == F.col("title_b")).alias("same_book"))
+    if limit is None:
+        return rows(units)
+    first = lambda found: found.orderBy(F.asc_nulls_last("overlap_start"), F.asc_nulls_last("overlap_end"), "character_a", "character_b", "place").limit(limit)
+    units = checkpointed(units)
+    for year in units.approxQuantile("y_start", list(HORIZONS), 0.001):
+        # Ranges that end before they begin have no common years, so they come last.
+        found = checkpointed(first(rows(units.filter(F.col("y_start") <= year)).filter("overlap_start IS NOT NULL")))
+        if found.count() == limit:
+            return first(found)
+    return first(rows(units))
+
+
+def same_book_check(points: DataFrame, books: DataFrame, time: str = "year", location: str = "city") -> DataFrame:
+    """total pairs, and those of which both books have one title (expected none): all pairs less those of different titles, both counted."""
+    titled = points.join(books.select("book_id", F.coalesce("title", F.concat(F.lit("\0"), F.col("book_id").cast("string"))).alias("_title")), "book_id")
+    total = pair_count(titled.drop("_title"), time, location).withColumn("apart", F.lit(0).cast("long"))
+    apart = pair_count(titled.drop("book_id").withColumnRenamed("_title", "book_id"), time, location).select(F.lit(0).cast("long").alias("n"), F.col("n").alias("apart"))
+    return total.union(apart).agg(F.sum("n").alias("total"), F.sum(F.col("n") - F.col("apart")).alias("same_book"))

@@ -65,12 +65,15 @@ def apply_merges(characters: DataFrame, events: DataFrame, redirect: DataFrame)
 
 
 def flags_pending(flags: DataFrame, books: DataFrame, characters: DataFrame) -> DataFrame:
-    """Flags that wait for review, with the book's title and the members' names (``?`` where one is missing)."""
+    """Flags that wait for review, oldest first where the table has created_at, with the book's title and the members' names (``?`` where one is missing)."""
     own = flags.filter("status = 'pending'").join(books.select("book_id", "title"), "book_id")
-    rows = own.select("flag_id", "book_id", "title", "confidence", "canonical_id", F.posexplode("character_ids").alias("at", "character_id"))
+    when = [c for c in ("created_at",) if c in flags.columns]
+    key = ["flag_id", "book_id", "title", "confidence", "canonical_id", *when]
+    rows = own.select(*key, F.posexplode("character_ids").alias("at", "character_id"))
     rows = rows.join(characters.select("book_id", "character_id", "canonical_name"), ["book_id", "character_id"], "left")
     names = F.array_sort(F.collect_list(F.struct("at", F.coalesce("canonical_name", F.lit("?")).alias("n"))))
-    return rows.groupBy("flag_id", "book_id", "title", "confidence", "canonical_id").agg(F.array_join(F.transform(names, lambda x: x["n"]), ", ").alias("members"))
+    found = rows.groupBy(*key).agg(F.array_join(F.transform(names, lambda x: x["n"]), ", ").alias("members"))
+    return found.orderBy(*when, "flag_id") if when else found
 
 
 def flag_approve(flag_id, flags: DataFrame, characters: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

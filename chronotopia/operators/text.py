@@ -51,12 +51,26 @@ def headings(text: str) -> list[tuple[int, int, str, str]]:
     return next((t for t in tiers if len(t) > 1), tiers[0])
 
 
+def repeats(items: list[str]) -> list[int]:
+    """For each place how many items from there on are those from the start on (a Z-array; linear)."""
+    z, left, right = [len(items)] + [0] * (len(items) - 1), 0, 0
+    for i in range(1, len(items)):
+        n = min(z[i - left], right - i) if i < right else 0
+        while i + n < len(items) and items[n] == items[i + n]:
+            n += 1
+        z[i] = n
+        if i + n > right:
+            left, right = i, i + n
+    return z
+
+
 def contents_length(found: list[tuple[int, int, str, str]], gap: int = TOC_GAP) -> int:
     """How many leading headings are a table of contents: the most that come again in order right after, close together."""
-    numbers = [h[3] for h in found]
-    apart = [b[0] - a[1] > gap for a, b in zip(found, found[1:])]
-    fits = (k for k in range(len(found) // 2, 0, -1) if numbers[:k] == numbers[k : 2 * k] and not any(apart[: k - 1]))
-    return next(fits, 0)
+    if not found:
+        return 0
+    close = next((i for i, (a, b) in enumerate(zip(found, found[1:])) if b[0] - a[1] > gap), len(found)) + 1
+    again = repeats([h[3] for h in found])
+    return max((k for k in range(1, min(close, len(found) // 2) + 1) if again[k] >= k), default=0)
 
 
 def chapters_of(text: str) -> list[tuple[str | None, str]]:

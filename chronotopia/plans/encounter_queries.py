@@ -23,12 +23,14 @@ def _readable(spark, d):
     return P.event_readable(*(view(spark, d, n) for n in ("presence", "books", "characters", "locations")))
 
 
-LOCATION_POINTS = """SELECT location_id, 'place' AS point_role, country, region, city, neighborhood FROM locations WHERE location_type <> 'transit'
-UNION ALL SELECT location_id, 'from', transit_from_country, NULL, transit_from_city, NULL FROM locations WHERE location_type = 'transit' AND (transit_from_country IS NOT NULL OR transit_from_city IS NOT NULL)
-UNION ALL SELECT location_id, 'to', transit_to_country, NULL, transit_to_city, NULL FROM locations WHERE location_type = 'transit' AND (transit_to_country IS NOT NULL OR transit_to_city IS NOT NULL)"""
-MATCH_POINTS = f"""SELECT e.event_id, e.book_id, e.character_id, coalesce(time_year_range_start, time_year) AS y_start, coalesce(time_year_range_end, time_year) AS y_end,
-  time_month, time_day, p.location_id, point_role, lower(trim(country)) AS country, lower(trim(region)) AS region, lower(trim(city)) AS city, lower(trim(neighborhood)) AS neighborhood
-  FROM presence e JOIN ({LOCATION_POINTS}) p ON p.location_id = e.location_id WHERE time_precision IS NOT NULL"""
+_end = lambda side: f"{{'role': '{side}', 'country': transit_{side}_country, 'region': NULL, 'city': transit_{side}_city, 'neighborhood': NULL}}"
+# Each place's points as a list; of a journey the ends of which anything is known.
+LOCATION_POINTS = f"""SELECT location_id, p.role AS point_role, p.country AS country, p.region AS region, p.city AS city, p.neighborhood AS neighborhood FROM (SELECT location_id, unnest(CASE
+  WHEN location_type <> 'transit' THEN [{{'role': 'place', 'country': country, 'region': region, 'city': city, 'neighborhood': neighborhood}}]
+  WHEN location_type = 'transit' THEN list_filter([{_end('from')}, {_end('to')}], lambda x: coalesce(x.country, x.city) IS NOT NULL) END) AS p FROM locations)"""
+_folded = ", ".join(f"lower(trim({c})) AS {c}" for c in LOCATION_LEVELS)
+_bounds = ", ".join(f"ifnull(time_year_range_{side}, time_year) AS y_{side}" for side in ("start", "end"))
+MATCH_POINTS = f"""SELECT event_id, book_id, character_id, {_bounds}, time_month, time_day, location_id, point_role, {_folded} FROM (SELECT * FROM presence WHERE time_precision IS NOT NULL) JOIN ({LOCATION_POINTS}) USING (location_id)"""
 PLACE = """CASE WHEN location_type = 'transit' THEN 'travelling from ' || coalesce(transit_from_city, transit_from_country, 'an unknown place') || ' to ' || coalesce(transit_to_city, transit_to_country, 'an unknown place')
   || coalesce(' by ' || replace(transport_mode, '_', ' '), '') ELSE coalesce(nullif(concat_ws(', ', neighborhood, city, region, country), ''), 'an unspecified location') END"""
 PLAIN_TIME = """CASE time_precision WHEN 'day' THEN strftime(make_date(time_year, time_month, time_day), '%d %B %Y') WHEN 'month' THEN strftime(make_date(time_year, time_month, 1), '%B %Y')
@@ -118,7 +120,7 @@ _overlap = f""", pts AS ({MATCH_POINTS}), readable AS ({READABLE}) SELECT DISTIN
   FROM pts a JOIN pts b ON a.book_id < b.book_id AND {time_sql('year')} AND {location_sql('city')} JOIN readable ra ON ra.event_id = a.event_id JOIN readable rb ON rb.event_id = b.event_id"""
 _add("overlap_years", lambda s, d: E.overlap_years(_points(s, d), _readable(s, d), "city", None), duck(ALL, "").rstrip() + _overlap)
 _add("sort_limit", lambda s, d: E.overlap_years(_points(s, d), _readable(s, d), "city", 20), duck(ALL, "").rstrip() + _overlap + " ORDER BY overlap_start NULLS LAST, overlap_end NULLS LAST, character_a, character_b, place LIMIT 20")
-_add("same_book_check", lambda s, d: E.same_book_check(E.pairs(_points(s, d), "year", "city"), view(s, d, "books")),
+_add("same_book_check", lambda s, d: E.same_book_check(_points(s, d), view(s, d, "books")),
      duck(ALL, "").rstrip() + f", pts AS ({MATCH_POINTS}) SELECT count(*) AS total, count(*) FILTER (WHERE ba.title = bb.title) AS same_book FROM pts a JOIN pts b ON a.book_id < b.book_id AND {time_sql('year')} AND {location_sql('city')} JOIN books ba ON ba.book_id = a.book_id JOIN books bb ON bb.book_id = b.book_id")
 
 

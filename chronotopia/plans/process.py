@@ -28,14 +28,14 @@ class Services:
     character_id, places.TIME, time_precision, time_source, places.PLACE, temporal_relation, confidence, evidence_quote);
     estimate: (book_id, opening) -> (book_id, year_range_start, year_range_end, setting_confidence); duplicates: characters
     with evidence -> (book_id, position, canonical_id, character_ids, confidence); order: dated events -> assignments.
-    gazetteer: rows of look-ups, as places.geo_backfill takes them.
+    gazetteer: rows of look-ups, as places.geo_backfill takes them, or locations -> such rows (``lookups.gazetteer``).
     """
 
     declare: Answer
     events: Answer
     estimate: Answer
     duplicates: Answer
-    gazetteer: DataFrame
+    gazetteer: DataFrame | Answer
     order: Answer = by_rule
 
 
@@ -69,10 +69,11 @@ def process_books(novels: DataFrame, services: Services, targets: DataFrame | No
     # The order of telling: chapters first, then places in them.
     events = events.withColumn("ordinal", F.shiftleft(F.col("chapter").cast("long"), 32) + F.col("narration_order"))
     events, locations = places.finalize_locations(checkpointed(places.refine_locations(events)))
+    known = services.gazetteer if isinstance(services.gazetteer, DataFrame) else checkpointed(services.gazetteer(locations))
     books = novels.drop("text").join(estimates, "book_id", "left").join(chapters.groupBy("book_id").agg(F.count("*").alias("chapters_processed")), "book_id", "left")
-    flags = other.withColumn("flag_id", F.sha2(F.concat_ws("\0", "book_id", F.col("position").cast("string")), 256)).withColumn("status", F.lit("pending"))
+    flags = other.withColumn("flag_id", F.sha2(F.concat_ws("\0", "book_id", F.col("position").cast("string")), 256)).withColumn("status", F.lit("pending")).withColumn("created_at", F.current_timestamp())
     return {
-        "books": books, "characters": characters, "locations": places.geo_backfill(locations, services.gazetteer), "events": events.drop("ordinal"),
+        "books": books, "characters": characters, "locations": places.geo_backfill(locations, known), "events": events.drop("ordinal"),
         "character_duplicate_flags": flags,
     }
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import book_queries, encounter_queries, saved
+from . import book_queries, encounter_queries, kept, saved
 
-PARTS = (encounter_queries, book_queries, saved)
+PARTS = (encounter_queries, book_queries, saved, kept)
 QUERIES = {k: q for p in PARTS for k, q in p.QUERIES.items()}
 ORACLES = {k: q for p in PARTS for k, q in p.ORACLES.items()}

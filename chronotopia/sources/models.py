@@ -16,7 +16,10 @@ WAITS = (15, 60)
 class ServiceError(Exception):
     def __init__(self, status: int, message: str = "") -> None:
         super().__init__(f"{status} {message}".strip())
-        self.status = status
+        self.status, self.message = status, message
+
+    def __reduce__(self):
+        return type(self), (self.status, self.message)
 
 
 def with_retries(call: Callable[[dict], dict], waits: tuple[float, ...] = WAITS, sleep: Callable[[float], None] = time.sleep) -> Callable[[dict], dict]:
@@ -40,7 +43,7 @@ class BudgetSpent(Exception):
 
 
 def with_budget(call: Callable[[dict], dict], cost: Callable[[dict], float], budget: float | None) -> Callable[[dict], dict]:
-    """``call`` until the answers' ``cost`` has reached ``budget`` (None: no bound); counted in each worker."""
+    """``call`` until the answers' ``cost`` has reached ``budget`` (None: no bound), in one worker; ``lookups.looked_up`` counts for a run."""
     spent = 0.0
 
     def guarded(row: dict) -> dict:
@@ -55,7 +58,7 @@ def with_budget(call: Callable[[dict], dict], cost: Callable[[dict], float], bud
 
 
 def throttled(call: Callable[[dict], dict], gap: float = 1.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Callable[[dict], dict]:
-    """``call``, begun ``gap`` seconds after the one before it at the earliest; in each worker."""
+    """``call``, begun ``gap`` seconds after the one before it at the earliest, in one worker; ``lookups.looked_up`` keeps a run's pace."""
     last = None
 
     def waiting(row: dict) -> dict:

@@ -122,13 +122,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder of any store holds; nothing if it is not there."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(own)] if fs.exists(own) else []
+
+
+def load_all(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of all runs, whether they count or not."""
+    rows = spark.read.option("basePath", f"{root}/{name}").option("mergeSchema", "true").parquet(f"{root}/{name}")
+    return rows.withColumn("run_id", F.col("run_id").cast("string"))
+
+
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of all runs and books that count."""
     w = Window.partitionBy("run_id", "book_id").orderBy(F.desc("at"), "live")
     last = spark.read.schema(f"{MANIFEST}, at timestamp").parquet(f"{root}/manifest").withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    rows = spark.read.option("basePath", f"{root}/{name}").option("mergeSchema", "true").parquet(f"{root}/{name}")
-    rows = rows.withColumn("run_id", F.col("run_id").cast("string"))
-    rows = rows.join(last.filter("book_id IS NULL AND live").select("run_id"), "run_id", "left_semi")
+    rows = load_all(spark, root, name).join(last.filter("book_id IS NULL AND live").select("run_id"), "run_id", "left_semi")
     gone = last.filter("book_id IS NOT NULL AND NOT live").select("run_id", "book_id")
     return rows.withColumn("_book", F.col("book_id").cast("string")).join(gone.withColumnRenamed("book_id", "_book"), ["run_id", "_book"], "left_anti").drop("_book")
 

@@ -296,6 +296,8 @@ def test_flags(spark):
     events = spark.createDataFrame([("b", "B")], "book_id string, character_id string")
     books = spark.createDataFrame([("b", "T")], "book_id string, title string")
     assert {r.flag_id: r.members for r in people.flags_pending(flags, books, chars).collect()} == {"f": "Ann, Bob", "g": "Ann, ?"}
+    dated = flags.withColumn("created_at", F.when(F.col("flag_id") == "f", F.lit("2026-01-02")).otherwise(F.lit("2026-01-01")))
+    assert [r.flag_id for r in people.flags_pending(dated, books, chars).collect()] == ["g", "f"]
     f, c, e = people.flag_approve("f", flags, chars, events)
     assert {r.flag_id: r.status for r in f.collect()}["f"] == "approved" and [(r.character_id, r.aliases) for r in c.collect()] == [("A", ["Bob", "x"])] and e.first().character_id == "A"
     assert {r.flag_id: r.status for r in people.flag_reject("h", people.flag_reject("f", flags)).collect()} == {"f": "rejected", "g": "pending", "h": "rejected"}

@@ -97,3 +97,21 @@ def test_cost_does_not_follow_the_pairs(spark):
         took.append(time.time() - began)
         assert abs(len(got) - 500) < 150 and all(r.book_id_a < r.book_id_b for r in got)
     assert took[1] < 4 * took[0] + 10
+
+
+@pytest.mark.parametrize("limit", [3, 40, 2000])
+def test_first_common_years_are_those_of_the_whole_list(spark, limit):
+    p = some_points(spark, 150, seed=9)
+    names = p.selectExpr("event_id", "concat('n', event_id % 7) character_name")
+    key = lambda r: tuple((v is None, v if v is not None else "") for v in (r.overlap_start, r.overlap_end, r.character_a, r.character_b, r.place))
+    whole = sorted(encounters.overlap_years(p, names, "city", None).collect(), key=key)
+    got = encounters.overlap_years(p, names, "city", limit).collect()
+    assert got == whole[:limit] and len(whole) > 40 and any(r.overlap_start is None for r in whole)
+
+
+def test_books_of_one_title(spark):
+    y = (1800, 1800, None, None, "x", None, "c", None)
+    p = pts(spark, ("a", *y), ("a", *y), ("b", *y), ("c", *y), ("d", *y), ("e", *y))
+    books = spark.createDataFrame([("a", "T"), ("b", "T"), ("c", "U"), ("d", None)], "book_id string, title string")
+    r = encounters.same_book_check(p, books).first()
+    assert (r.total, r.same_book) == (9, 2)
