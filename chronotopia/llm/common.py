@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import reduce, wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructField
 
 from ..sources.session import checkpointed, remove_path, shared_folder  # noqa: F401
 
@@ -35,9 +36,32 @@ def small_batches(df: DataFrame) -> DataFrame:
 KEY = ("_row_a", "_row_b")
 
 
+def own_names(*used: str) -> Callable:
+    """Of an operator from rows to rows: all columns but ``used`` travel under plain names and get theirs back, so no name can clash with the operator's own."""
+
+    def of(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            plain = [c if c in used else f"x{i}" for i, c in enumerate(docs.columns)]
+            out, back = operator(docs.toDF(*plain), *args, **kwargs), dict(zip(plain, docs.columns))
+            return out.toDF(*[back.get(c, c) for c in out.columns])
+
+        return run
+
+    return of
+
+
+def _hashable(field: StructField) -> Column:
+    """A column as it can be hashed; maps are by what they hold, in any order."""
+    kind, c = field.dataType.simpleString(), F.col(f"`{field.name}`")
+    if isinstance(field.dataType, MapType):
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.to_json(F.struct(e.alias("e")))))
+    return F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c
+
+
 def row_key(docs: DataFrame) -> list[Column]:
     """128 bits of hash over all columns, nulls told apart: rows with one key are equal, so any of them will do."""
-    cols = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    cols = [x for f in docs.schema for x in (F.col(f"`{f.name}`").isNull(), _hashable(f))]
     return [F.xxhash64(F.lit(seed), *cols).alias(name) for seed, name in zip((17, 18), KEY)]
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import own_names, small_batches, table
 
 ORDER = 4
 PAD = ORDER - 1
@@ -286,13 +286,22 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                 [*(b.column(c) for c in keep), lang, pa.array(post), h_, pa.array(reject)], [*keep, *names]
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    own = [F.col(f"`{c}`") for c in keep]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
     small_batches(docs)
-    src = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("text"))
+    src = docs.select(*own) if "text" in keep else docs.select(*own, F.col("text").cast("string").alias("text"))
     new = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double", "boolean")))
     return src.mapInArrow(run, f"{kinds}, {new}")
 
 
+@own_names("doc_id", "text", "lang")
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language a model fitted on them does not reject."""
+    names = tuple(f"_langid_{n}" for n in NAMES)
+    found = predict(docs, train(docs), tuple(docs.columns), names)
+    return found.filter(~F.col("_langid_rejected")).select(*docs.columns)
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's predicted language."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

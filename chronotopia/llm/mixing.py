@@ -23,7 +23,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, checkpointed, row_key, running_sum, table
+from .common import KEY, checkpointed, own_names, row_key, running_sum, table
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -139,6 +139,7 @@ def _copies(docs: DataFrame, weights: tuple[int, ...], repeats: int, budget: flo
     return main.union(last.select(*main.columns))
 
 
+@own_names("doc_id", "text", "source", "n_chars")
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; where a source's share ends inside a text, the words up to there."""
     text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(_first_words(F.col("text"), F.col("_words")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import own_names, small_batches, table
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -41,7 +41,8 @@ class Feistel:
         self.n, self.a = n, isqrt(n - 1) + 1 if n > 1 else 1
         self.b = -(-n // self.a)
         self.wide = (max(self.a, self.b).bit_length() + 7) // 8 + 8
-        self.base = hashlib.blake2b(tweak.encode() + b"\0" + str(n).encode(), key=key[:64]).digest()
+        key = key if len(key) <= 64 else hashlib.blake2b(key).digest()  # what the digest takes at most
+        self.base = hashlib.blake2b(tweak.encode() + b"\0" + str(n).encode(), key=key).digest()
 
     def _round(self, r: int, x: int) -> int:
         own, k = b"", 0
@@ -280,6 +281,7 @@ def key_of(spark: SparkSession) -> bytes:
     return DEMO_KEY if key is None else key.encode()
 
 
+@own_names("text", "n_chars")
 def pseudonymize(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
     """``docs`` with its text replaced (and n_chars, if there, recounted); with ``report`` also ``_pii``, what was found."""
     cols = docs.columns

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT, KEY, checkpointed, connected_components, join_hot, local_roots, row_key, small_batches, table
+from .common import HOT, KEY, checkpointed, connected_components, join_hot, local_roots, own_names, row_key, small_batches, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -164,6 +164,7 @@ def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return join_hot(rows, of, "fp", rows.count()).select("doc_id", "fp", "component_id")
 
 
+@own_names("doc_id", "text")
 def near_dedup(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row of ``docs`` of each component: that of the smallest doc_id; null is the largest, and of equals the row's key decides."""
     rows = checkpointed(with_fingerprints(docs, keyed=True))
