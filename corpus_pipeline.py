@@ -20,9 +20,7 @@ from chronotopia.llm.common import remove_path, shared_folder, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the labels; those that the calibrated models reject go."""
-    names = tuple(f"_langid_{n}" for n in langid.NAMES)
-    found = langid.predict(docs, langid.train(docs), tuple(docs.columns), names)
-    return found.filter(~F.col("_langid_rejected")).select(*docs.columns)
+    return langid.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
