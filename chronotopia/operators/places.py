@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vocabulary import ADDRESS_TYPES, COUNTRY_ALIASES, HIERARCHY, IMPORTANCE_MARGIN, TRANSIT_FIELDS
-
-TIME = ("time_year_range_start", "time_year_range_end", "time_year", "time_month", "time_day")
-PLACE = ("location_type", *HIERARCHY, "proximity", *TRANSIT_FIELDS, "transport_mode", "transport_detail", "source")
+from ..functions.vocabulary import ADDRESS_TYPES, COUNTRY_ALIASES, HIERARCHY, IMPORTANCE_MARGIN, PLACE, TIME, TRANSIT_FIELDS
+from .refinement import depth, filled, refine_in_order, vaguer
 
 
 def deepest_index(prefix: str = "") -> Column:
     """Number of the most specific known level, -1 if there is none."""
-    return F.greatest(F.lit(-1), *[F.when(F.col(prefix + c).isNotNull(), n) for n, c in enumerate(HIERARCHY)])
+    return depth(lambda c: F.col(prefix + c))
 
 
 def deepest_level(prefix: str = "") -> tuple[Column, Column]:
@@ -50,23 +47,18 @@ def refine_locations(events: DataFrame, mode: str = "snapshot") -> DataFrame:
 
     ``events``: book_id, character_id, ordinal, the columns of TIME and PLACE. Of equally specific places the first in
     order counts. ``snapshot`` compares with the places as given; ``sequential`` lets later events see earlier
-    replacements, event by event.
+    replacements, event by event, see ``refinement``.
     """
     if mode == "sequential":
-        return events.groupBy("book_id", "character_id").applyInPandas(_sequential, events.schema)
+        return refine_in_order(events)
     if mode != "snapshot":
         raise ValueError(f"unknown mode {mode!r}")
-    key, filled = ["book_id", "character_id"], reduce(lambda p, q: p + q, [F.col(c).isNotNull().cast("int") for c in HIERARCHY])
+    key = ["book_id", "character_id"]
     fixed = events.filter("location_type <> 'transit'")
     # Every place is offered under each of the vaguer places that it would refine, of which it keeps only some levels: so
     # nesting is an equality. Of equal times only the most specific place of each is offered.
-    rank = F.struct(deepest_index().alias("d"), filled.alias("f"), (-F.col("ordinal")).alias("o"))
-    keeps = [[n for n in range(len(HIERARCHY)) if mask >> n & 1] for mask in range(1 << len(HIERARCHY))]
-    vaguer = F.array(*[
-        F.when(F.col("_rank.d") > max(k, default=-1), F.struct(*[(F.col(c) if n in k else F.lit(None).cast("string")).alias(c) for n, c in enumerate(HIERARCHY)]))
-        for k in keeps
-    ])
-    offers = fixed.withColumn("_rank", rank).filter("_rank.d >= 0").select(*key, *TIME, F.struct(*PLACE).alias("_place"), "_rank", F.explode(F.array_distinct(F.array_compact(vaguer))).alias("_as"))
+    rank = F.struct(depth().alias("d"), filled().alias("f"), (-F.col("ordinal")).alias("o"))
+    offers = fixed.withColumn("_rank", rank).filter("_rank.d >= 0").select(*key, *TIME, F.struct(*PLACE).alias("_place"), "_rank", F.explode(vaguer()).alias("_as"))
     offers = offers.groupBy(*key, *TIME, "_as").agg(F.max_by("_place", "_rank").alias("_place"), F.max("_rank").alias("_rank")).select("*", "_as.*").alias("b")
     asked = fixed.select(*key, *HIERARCHY, *TIME).distinct().alias("a")
     cond = reduce(lambda p, q: p & q, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key] + [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in HIERARCHY])
@@ -77,36 +69,6 @@ def refine_locations(events: DataFrame, mode: str = "snapshot") -> DataFrame:
     return events.alias("e").join(best.alias("m"), same, "left").select(*out)
 
 
-def _sequential(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One character's events, each compared with the places as they are by then."""
-    pdf = pdf.sort_values("ordinal", kind="stable").reset_index(drop=True)
-    known = lambda v: not pd.isna(v)
-    rows = pdf.to_dict("records")
-
-    def depth(r):
-        return max((n for n, c in enumerate(HIERARCHY) if known(r[c])), default=-1)
-
-    def nests(r, s):
-        return "transit" not in (r["location_type"], s["location_type"]) and depth(s) > depth(r) and all(not known(r[c]) or r[c] == s[c] for c in HIERARCHY)
-
-    def compatible(r, s):
-        if any(known(r[c]) and known(s[c]) and r[c] != s[c] for c in TIME[2:]):
-            return False
-        ranged = [known(x[TIME[0]]) or known(x[TIME[1]]) for x in (r, s)]
-        for (p, q), (rp, rq) in (((r, s), ranged), ((s, r), ranged[::-1])):
-            y = q["time_year"]
-            if rp and not rq and known(y) and ((known(p[TIME[0]]) and y < p[TIME[0]]) or (known(p[TIME[1]]) and y > p[TIME[1]])):
-                return False
-        return True
-
-    for r in rows:
-        fits = [s for s in rows if s is not r and nests(r, s) and compatible(r, s)]
-        if fits:
-            best = max(fits, key=lambda s: (depth(s), sum(known(s[c]) for c in HIERARCHY)))
-            r.update({c: best[c] for c in PLACE})
-    return pd.DataFrame(rows, columns=pdf.columns)
-
-
 def location_identity() -> list[Column]:
     """What makes two events' places one: type, levels (not of a journey), ends and means; source and proximity do not."""
     levels = [F.when(F.col("location_type") != "transit", F.col(c)).alias(f"id_{c}") for c in HIERARCHY]

@@ -190,6 +190,7 @@ _add("refine_locations", lambda s, d: places.refine_locations(_full(s, d)).selec
      duck(_both, f"""SELECT e.event_id, {', '.join(f'CASE WHEN m.event_id IS NULL THEN e.{c} ELSE m.{c} END AS {c}' for c in ('location_type', *HIERARCHY, 'proximity', 'source'))} FROM ({_FULL}) e LEFT JOIN
   (SELECT DISTINCT ON (a.event_id) a.event_id, b.location_type, b.country, b.region, b.city, b.neighborhood, b.street, b.proximity, b.source {_PAIRS} WHERE {_NESTS} AND {_COMPATIBLE}
    ORDER BY a.event_id, {_DEPTH.format(p='b.')} DESC, {_FILLED.format(p='b.')} DESC, b.event_id) m ON m.event_id = e.event_id"""))
+_add("refine_in_order", lambda s, d: places.refine_locations(_full(s, d), "sequential").select("event_id", "location_type", *HIERARCHY, "proximity", "source"), None)
 _IDENT = ["location_type", *[f"CASE WHEN location_type <> 'transit' THEN {c} END" for c in HIERARCHY], *TRANSIT_FIELDS, "transport_mode"]
 _add("location_identity", lambda s, d: _full(s, d).groupBy("book_id", *places.location_identity()).agg(F.count("*").alias("n"), F.min("event_id").alias("first")).select("book_id", "n", "first"),
      duck(_both, f"SELECT book_id, count(*) AS n, min(event_id) AS first FROM ({_FULL}) GROUP BY book_id, {', '.join(_IDENT)}"))
