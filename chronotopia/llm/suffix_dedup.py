@@ -14,15 +14,16 @@ text of that run. Only anchors whose next 81 bytes occur again need a look:
    In the end all levels have merged, so each window has met every other.
 4. The windows found, as intervals, meet their documents, which lose the bytes covered.
 
-Nothing is capped, and a match counts only if bytes agree (for whole contexts: two
-hashes of 64 bits, chained over the same hashes of 16 bytes each). The text is shuffled
+Nothing is capped. Matches of parts of contexts are found by comparing bytes; equality of whole contexts and of rows
+is that of hashes (two of 64 bits, chained over the same hashes of 16 bytes each), not of bytes. The text is shuffled
 once, for steps 3 and 4 together (one exchange, reused).
 
 ``Index`` keeps levels between runs: batches of documents that come later are compared with all that came before.
 
 Edge cases: null and empty texts have nothing to remove; texts shorter than ``length`` neither; overlapping
 occurrences count; repeated rows lose all that they share; rows are told apart by 128 bits of
-hash of doc_id and text.
+hash of doc_id and text. Where very many rows are equal in both, each has all its windows in the others, so the rows lose
+all where they are, and one goes through the steps for other texts' sake; fewer equal rows share one list of intervals.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, remove_path, small_batches, table
+from .common import HOT, checkpointed, remove_path, small_batches, table
 
 LENGTH, WINDOW, GRAM = 200, 120, 16
 #: Bytes of text that are hashed together, and contexts in a batch of the index family.
@@ -342,6 +344,19 @@ def _rows(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(*keys, F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("data"))
 
 
+def _repeats(src: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, of those of one key that are many only one, marked ``lone``; the many rows).
+
+    A key is many rows' if it has over 1 / HOT of them, so there are at most HOT such keys. All others stay as they are.
+    """
+    counts = checkpointed(src.groupBy(*KEY).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(checkpointed(counts.filter(F.col("n") > max(1, total // HOT)).select(*KEY)))
+    many = src.join(hot, KEY)
+    one = many.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("data").alias("data")).withColumn("lone", F.lit(True))
+    return src.join(hot, KEY, "left_anti").withColumn("lone", F.lit(False)).unionByName(one), many
+
+
 def _first(src: DataFrame, length: int) -> DataFrame:
     """Anchors of all texts, one of each context of a batch, and the intervals settled inside a batch."""
     if length - WINDOW + 1 < GRAM:
@@ -364,7 +379,7 @@ def _contexts(spread: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["seed", *KEY, "lo", "off", "many", "text"])
 
-    # doc_id stays, so that this is the very exchange of texts that the removal reads.
+    # doc_id and lone stay, so that this is the very exchange of texts that the removal reads.
     own = spread.join(asked, KEY).dropDuplicates(KEY)
     return own.mapInArrow(fetch, "seed long, key long, key2 long, lo int, off int, many boolean, text binary")
 
@@ -392,9 +407,8 @@ def _inside(first: DataFrame, spread: DataFrame, length: int) -> DataFrame:
     return found.filter("kind = 1").select(*KEY, "lo", "hi").union(_scan(_contexts(spread, found.filter("kind = 2"), length), length))
 
 
-def find(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(intervals of repeated windows: key, key2, lo, hi), (key, key2, doc_id, data: the text's bytes), the latter dealt by key."""
-    src = _rows(docs)
+def find(src: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(intervals of repeated windows: key, key2, lo, hi), (``src`` dealt by key); ``src`` is rows as ``_rows`` gives, with lone."""
     spread = src.repartition(*KEY)
     return _inside(_first(src, length), spread, length), spread
 
@@ -412,15 +426,24 @@ def _cover(spans: list, size: int, length: int) -> list[tuple[int, int]]:
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, spans: array of (start, end) removed, kept: the bytes that remain) of every row."""
-    return _removed(*find(docs, length), length)
+    few, many = _repeats(_rows(docs))
+    # Each window of a row that has an equal row starts there too.
+    size = F.octet_length("data")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.cast("long").alias("end")))
+    nothing = F.array().cast(whole_type := "array<struct<start:bigint,end:bigint>>")
+    spans = F.when(size >= length, whole.cast(whole_type)).otherwise(nothing)
+    kept = F.when(size >= length, F.lit(b"")).otherwise(F.col("data"))
+    return _removed(*find(few, length), length).unionByName(many.select("doc_id", size.cast("long").alias("n_bytes"), spans.alias("spans"), kept.alias("kept")))
 
 
 def _removed(intervals: DataFrame, spread: DataFrame, length: int) -> DataFrame:
-    by = intervals.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    """What ``remove`` returns for the rows of ``spread`` that are not ``lone``; equal rows share their intervals."""
+    by = intervals.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
 
     def run(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
+            b = b.filter(pc.invert(b.column("lone")))
             spans, kept, sizes = [], [], []
             for data, found in zip(b.column("data"), b.column("found")):
                 data = data.as_py()
@@ -434,7 +457,7 @@ def _removed(intervals: DataFrame, spread: DataFrame, length: int) -> DataFrame:
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return spread.join(by, KEY, "left").select("doc_id", "data", "found").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return spread.join(by, KEY, "left").select("doc_id", "data", "lone", "found").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 class Index:
@@ -485,7 +508,7 @@ class Index:
         src = self.spark.read.parquet(f"{path}/rows")
         _first(src, self.length).write.parquet(f"{path}/anchors")
         first = self.spark.read.parquet(f"{path}/anchors")
-        spread = src.repartition(*KEY)
+        spread = src.withColumn("lone", F.lit(False)).repartition(*KEY)
         intervals = _inside(first, spread, self.length)
         own = first.filter("kind = 0")
         if old:

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -92,6 +93,44 @@ def test_suffix_dedup_is_as_brute_force(spark, tmp_path):
     assert got == sorted((r[0], *w) for r, w in zip(rows, brute_removal([t for _, t in rows])))
 
 
+def equal_rows(spark, n):
+    """``n`` equal rows without an id, a longer text that holds theirs, a short one repeated, and one alone."""
+    rng = random.Random(4)
+    text, short, alone = prose(rng, 80), "short " * 5, prose(rng, 90)
+    rows = spark.range(n).selectExpr("cast(null as long) AS doc_id", f"'{text}' AS text")
+    more = [(1, "before " + text + " after"), (2, short), (2, short), (3, alone)]
+    return rows.unionByName(spark.createDataFrame(more, "doc_id long, text string")), text, [x for _, x in more]
+
+
+def test_equal_rows_lose_all_and_other_texts_what_they_share(spark):
+    for n, lost in ((1, 1), (2, 2), (300, 300)):
+        docs, text, more = equal_rows(spark, n)
+        got = sorted((r.n_bytes, r.kept) for r in suffix_dedup.remove(docs.repartition(5)).collect())
+        rows = [text] * n + more
+        want = sorted((size, bytes(kept)) for (size, *_), kept in zip(brute_removal(rows), kept_bytes(rows)))
+        assert [(a, bytes(b)) for a, b in got] == want and sum(not b for _, b in want) == lost
+
+
+def kept_bytes(texts, length=200):
+    """What brute force leaves of each text."""
+    data = [t.encode() for t in texts]
+    seen = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = {k for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1 for k in range(i, i + length)}
+        out.append(bytes(x for k, x in enumerate(b) if k not in gone))
+    return out
+
+
+def test_very_many_equal_rows_take_linear_work(spark, monkeypatch):
+    # With the second bound no key counts as hot, and equal rows share a list of intervals.
+    for n, hot in ((100_000, suffix_dedup.HOT), (20_000, 0.5)):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        start = time.monotonic()
+        one = suffix_dedup.remove(equal_rows(spark, n)[0]).selectExpr("count(*)", "count_if(octet_length(kept) = 0)", "sum(size(spans))").first()
+        assert tuple(one) == (n + 4, n, n + 1) and time.monotonic() - start < 60
+
+
 def test_levels_find_what_one_scan_finds():
     rng = np.random.default_rng(1)
     n = 60
