@@ -132,24 +132,15 @@ def encounters(points: DataFrame, readable: DataFrame, time: str = "year", locat
     """Pairs grouped by characters and what is shown of both places and times; support_count counts point pairs.
 
     The row shown for a group is that of the least events. Points of a character that show alike and agree in all that the
-    predicate reads are one unit, joined once, with their number. Two units that alone show what they show make a group
-    by themselves, so their pairs need neither grouping nor a join for their texts; only pairs with another unit do.
+    predicate reads are one unit, joined once, with their number. Pairs carry numbers only; texts come to the groups.
     """
     own = in_country(points, country).join(_numbered(readable), "event_id")
     units = own.groupBy("character_id", "shown_as", *POINT).agg(F.count("*").alias("m"), F.min(F.struct("event_id", "point_role")).alias("least"))
-    units = units.withColumn("alone", F.count("*").over(Window.partitionBy("book_id", "character_id", "shown_as")) == 1)
-    single, several = units.filter("alone"), units.filter("NOT alone")
-    shown = readable.select(F.col("event_id").alias("_event"), *[F.col(c).alias(f"_{n}") for c, n in zip(SIDE, NAMES)])
-    full = single.join(shown, F.col("least.event_id") == F.col("_event"))
-    texts = [F.col(f"{s}._{n}").alias(f"{n}_{s}") for s in "ab" for n in NAMES]
     ids = lambda c, *at: [F.col(f"{s}.{c}").alias(f"{at[0] if at else c}_{s}") for s in "ab"]
-    alone = _joined(full, time, location).select(*ids("character_id"), *ids("least.event_id", "event_id"), *texts, (F.col("a.m") * F.col("b.m")).alias("support_count"))
-    part = lambda x, y: _joined(x, time, location, y).select(*ids("book_id"), *ids("character_id"), *ids("shown_as"), *ids("m"), *ids("least.event_id", "event_id"))
-    rest = part(several, units).union(part(single, several))
+    found = _joined(units, time, location).select(*ids("book_id"), *ids("character_id"), *ids("shown_as"), *ids("m"), *ids("least.event_id", "event_id"))
     one = F.min(F.struct("event_id_a", "event_id_b")).alias("one")
-    rest = rest.groupBy(*[f"{c}_{s}" for c in ("book_id", "character_id", "shown_as") for s in "ab"]).agg(F.sum(F.col("m_a") * F.col("m_b")).alias("support_count"), one)
-    rest = _shown(rest.select("character_id_a", "character_id_b", "one.event_id_a", "one.event_id_b", "support_count"), readable)
-    return rest.unionByName(alone)
+    groups = found.groupBy(*[f"{c}_{s}" for c in ("book_id", "character_id", "shown_as") for s in "ab"]).agg(F.sum(F.col("m_a") * F.col("m_b")).alias("support_count"), one)
+    return _shown(groups.select("character_id_a", "character_id_b", "one.event_id_a", "one.event_id_b", "support_count"), readable)
 
 
 def encounter_groups(found: DataFrame, readable: DataFrame, order: Column) -> DataFrame:
