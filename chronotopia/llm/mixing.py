@@ -7,7 +7,7 @@ then sent its target), so the cut needs no search: a copy that finishes by then
 source that is being sent at that time the first words are. A source's pass repeats up to three times, so no document is
 taken more often. ``queue`` gives the copies range-sorted by virtual time; ``mix`` gives the texts, in no order.
 
-Equal rows are counted first, and words sent so far are summed by (source, hash bin): a source or a group of copies that
+Equal rows are counted first and written out again in blocks that are dealt to all tasks, and words sent so far are summed by (source, hash bin): a source or a group of copies that
 holds most rows is spread over all tasks. Texts are not shuffled: which copies a row gives follows from its hash and one
 row for each source.
 
@@ -31,6 +31,8 @@ SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 #: Hash bins of a source: bits.
 BITS = 16
+#: Equal rows that one task writes out at a time: bits.
+BLOCK = 12
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None) -> list[float]:
@@ -75,6 +77,15 @@ def _part(e: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - (e * F.col("source_size") + F.col("sent") - F.col("size")))).cast("long")
 
 
+def _each(rows: DataFrame, count: Column, out: str) -> DataFrame:
+    """``rows`` with the numbers from 1 to ``count`` as ``out``; those of one row are dealt to tasks in blocks."""
+    # A number of partitions is named, as their size before the numbers are written out says nothing of it after.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(count - 1, BLOCK)))).repartition(parts, *KEY, "_block")
+    first = F.shiftleft(F.col("_block"), BLOCK)
+    return rows.withColumn(out, F.explode(F.sequence((first + 1).cast("int"), F.least(count, first + (1 << BLOCK)).cast("int")))).drop("_block")
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, budget: float | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, goal, sent, finish, taken, nth) of every row, with its key.
 
@@ -93,8 +104,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REP
     rows = rows.withColumn("bin", F.shiftrightunsigned(KEY[0], 64 - BITS).cast("int"))
     rows = running_sum(rows, ["sid"], "bin", _order(), F.col("size") * F.col("equal"), "sent", BITS // 2)
     # Equal rows follow one another.
-    nth = F.explode(F.sequence(F.lit(1), F.col("equal").cast("int"))).alias("nth")
-    rows = rows.select("*", nth).withColumn("sent", F.col("sent") - (F.col("equal") - F.col("nth")) * F.col("size"))
+    rows = _each(rows, F.col("equal"), "nth").withColumn("sent", F.col("sent") - (F.col("equal") - F.col("nth")) * F.col("size"))
     taken = sum((_part(F.lit(e)) for e in range(repeats)), F.lit(0)).cast("long")
     finish = F.when(F.col("target") > 0, F.col("sent") / F.col("target"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "goal", "sent", finish.alias("finish"), taken.alias("taken"), "nth", *KEY)
@@ -134,7 +144,7 @@ def _copies(docs: DataFrame, weights: tuple[int, ...], repeats: int, budget: flo
     # Of equal rows in which the pass ends, those before the end are taken whole once more, and one in part.
     last = keyed.filter(F.expr(" AND ".join(f"{k} = _end.{k}" for k in KEY))).dropDuplicates([*KEY])
     part = F.col("_end.rest") < F.col("_end.size")
-    last = last.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_end.nth").cast("int"))))
+    last = _each(last, F.col("_end.nth").cast("long"), "_pass")
     last = last.withColumn("_words", F.when(part & (F.col("_pass") == F.col("_end.nth")), F.col("_end.rest")))
     return main.union(last.select(*main.columns))
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from util import documents, prose, some_rows
 
 import corpus_pipeline
@@ -196,6 +197,18 @@ def test_mixing_is_as_word_by_word_queueing(spark, tmp_path):
             assert times == sorted(times, key=lambda x: x[0]) and sum(n for _, n in times) == sum(taken.values())
 
 
+def test_equal_rows_are_written_out_by_several_tasks(spark):
+    docs = spark.range(40_000).selectExpr("cast(null as long) AS doc_id", "'same words here' AS text", "'s' AS source")
+    docs = docs.unionByName(spark.createDataFrame([(1, "other words", "t")], "doc_id long, text string, source string"))
+    plan = mixing.plan(docs)
+    rows = plan.filter("doc_id IS NULL")
+    assert tuple(rows.selectExpr("count(*)", "count(DISTINCT nth)", "count(DISTINCT sent)", "max(nth)").first()) == (40_000, 40_000, 40_000, 40_000)
+    sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 40_000
+    mixed = mixing.mix(docs)
+    assert mixed.agg(F.sum(F.size(F.split("text", " ")))).first()[0] == plan.agg(F.sum("taken")).first()[0] == 120_002
+
+
 def test_sharding(spark, tmp_path):
     rng = random.Random(3)
     rows = some_rows(6) + [(600 + i, prose(rng, 100)) for i in range(400)] + [(2000 + i, "copy " * 40) for i in range(330)]
