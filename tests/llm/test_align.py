@@ -3,9 +3,11 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from util import documents, prose, some_rows
 
 from chronotopia.llm import align as M
+from chronotopia.llm.bpe import PairIndexBPE
 
 ODD = ["a  b", " a", "a ", "a\tb\n c", "x ▁ y", "▁", "a ▁b", "\0a", "<s> <0x41> </s>", "<|endoftext|> x", "ﬁ é", "a b", "don't we'll", "日本語 テキスト", "🙂🙂 ok", "foo \n", "foo \n bar", "t \x1c u", "　 x", "x　 y", "a" * 500]
 
@@ -100,6 +102,35 @@ def test_parts_are_forgotten_and_learned_again(both, monkeypatch):
         assert {(c >> 32, c & 0xFFFFFFFF): m for c, m in zip(codes.tolist(), n.tolist())} == collections.Counter(links)
 
 
+def test_texts_are_read_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.read.parquet(documents(spark, tmp_path, [(i, prose(random.Random(i), 5)) for i in range(40)]) + "/documents.parquet")
+    for most in (M.MOST_PAIRS, 0):
+        assert M.align(docs.withColumn("text", seen("text")), *M.default_paths(), digest=True, most=most).count() == 40
+        assert read.value == 40
+        read.value = 0
+
+
+def test_short_words_are_merged_in_few_rounds():
+    content = open(M.default_paths()[0], "rb").read()
+    rng, encoder, index = random.Random(5), M.plain_bpe(content), PairIndexBPE(content)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 70))).encode() for letters in ("a", "ab", "aeinrst", " the", "é🙂ß日") for _ in range(300)]
+    words += [w.encode() for w in prose(rng, 300).split()] + [bytes([k]) for k in range(256)] + [b"", b"a" * 64, b"a" * 65, b"-" * 63]
+    rng.shuffle(words)
+    assert encoder.merge(words) == index.merge(words)
+    assert encoder.merge([]) == [] and encoder.merge([b"x" * 99]) == index.merge([b"x" * 99])
+    calls, plain = [], encoder.rank
+    encoder.rank = lambda a, b: calls.append(1) or plain(a, b)
+    encoder.merge([w for w in words if len(w) <= 64])
+    assert len(calls) <= 65
+
+
 def test_empty_table_and_unknown_rule(spark, tmp_path):
     d = documents(spark, tmp_path, [])
     assert M.op11_align(spark, d).collect() == []
