@@ -33,3 +33,14 @@ def test_units_of_groups(spark):
         assert sent(encounters.encounters(p, r, "year", "city"), "rest") == [units]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_of_short_sides_are_not_grouped(spark, monkeypatch):
+    """A long side has its own pairs grouped, not those of all others."""
+    p, r = some(spark, 120)
+    monkeypatch.setattr(encounters, "LISTED", 2)
+    got = encounters.encounters(p, r, "month", "city")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+    monkeypatch.setattr(encounters, "LISTED", 64)
+    assert sorted(map(str, got.collect())) == sorted(map(str, encounters.encounters(p, r, "month", "city").collect()))
