@@ -44,3 +44,16 @@ def test_pairs_of_short_sides_are_not_grouped(spark, monkeypatch):
     assert "Union" in plan
     monkeypatch.setattr(encounters, "LISTED", 64)
     assert sorted(map(str, got.collect())) == sorted(map(str, encounters.encounters(p, r, "month", "city").collect()))
+
+
+def test_names_of_common_years(spark):
+    p, r = some(spark, 200)
+    p = p.withColumn("y_end", F.col("y_start"))  # so each has one span
+    r = r.withColumn("character_name", F.concat(F.lit("N"), F.col("event_id").cast("string")))
+    units = p.join(r.select("event_id", "character_name"), "event_id").filter("book_id IS NOT NULL AND city IS NOT NULL")
+    n = units.select("book_id", "y_start", "country", "region", "city", "character_name").distinct().count()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert sent(encounters.overlap_years(p, r, "city", None), "unit#") == [n]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
